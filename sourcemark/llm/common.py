@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -49,7 +50,12 @@ def saved(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="sourcemark-")
         context.setCheckpointDir(shared)
-    return df.checkpoint()
+    out = df.checkpoint()
+    # files of shuffles that nothing refers to any more go now, not when the driver's heap happens to be full
+    del df
+    gc.collect()
+    context._jvm.System.gc()
+    return out
 
 
 def partitions_for(df: DataFrame, rows_each: int, rows: int) -> int:
@@ -188,3 +194,28 @@ def batch_of(**columns) -> pa.RecordBatch:
 
 def arrow_of(values: Iterable, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
+
+
+def whole_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From rows sorted by keys (64-bit numbers): tables of whole runs of equal keys, and where in them runs begin, with the end."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = pa.Table.from_batches([*held, batch])
+        cut = _begins(whole, keys)
+        if len(cut) > 2:
+            yield whole.slice(0, int(cut[-2])), cut[:-1]
+        held = whole.slice(int(cut[-2])).combine_chunks().to_batches()
+    if held:
+        whole = pa.Table.from_batches(held)
+        yield whole, _begins(whole, keys)
+
+
+def _begins(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(rows.num_rows + 1, bool)
+    new[[0, -1]] = True
+    for k in keys:
+        x = rows.column(k).to_numpy()
+        new[1:-1] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
