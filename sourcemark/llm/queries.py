@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, neardup, packing, pii
+from . import decontaminate, langid, neardup, packing, pii, secrets
 from .common import col, crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,9 +35,14 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.report(docs, secrets.trained(docs))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op5_language_id, op7_pii, op8_minhash_near_dedup, op10_benchmark_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op5_language_id, op7_pii, op8_minhash_near_dedup, op9_secrets, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
