@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, neardup, packing, pii, secrets
+from . import decontaminate, langid, neardup, packing, pii, secrets, suffix
 from .common import col, crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = crc_mod(col("doc_id"), 4) == 2
@@ -44,5 +48,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op5_language_id, op7_pii, op8_minhash_near_dedup, op9_secrets, op10_benchmark_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op4_suffix_array_dedup, op5_language_id, op7_pii, op8_minhash_near_dedup, op9_secrets, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
