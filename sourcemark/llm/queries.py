@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, neardup, packing, pii, secrets, suffix
+from . import decontaminate, langid, nearest, neardup, packing, pii, secrets, suffix
 from .common import col, crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.trained(docs.where(~held), PIECES), held)
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op4_suffix_array_dedup, op5_language_id, op7_pii, op8_minhash_near_dedup, op9_secrets, op10_benchmark_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op4_suffix_array_dedup, op5_language_id, op6_nearest_neighbours, op7_pii, op8_minhash_near_dedup, op9_secrets, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
