@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, lm, nearest, neardup, packing, pii, secrets, suffix
+from . import chat, decontaminate, langid, lm, nearest, neardup, packing, pii, secrets, suffix
 from .common import col, crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"), crc_mod(col("doc_id"), 5) == 1)
 
@@ -56,5 +60,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op3_lm_scoring, op4_suffix_array_dedup, op5_language_id, op6_nearest_neighbours, op7_pii, op8_minhash_near_dedup, op9_secrets, op10_benchmark_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_lm_scoring, op4_suffix_array_dedup, op5_language_id, op6_nearest_neighbours, op7_pii, op8_minhash_near_dedup, op9_secrets, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
