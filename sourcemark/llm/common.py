@@ -192,8 +192,18 @@ def batch_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def arrow_of(values: Iterable, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, kind)
+def kept_rows(docs: DataFrame, text: str, keep: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The rows for whose texts the function that keep() makes, once a task, says true; all columns as they were, whatever their names."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = names[docs.columns.index(text)]
+    plain = docs.toDF(*names)
+
+    def run(batches):
+        says = keep()
+        for batch in chunks(batches, at):
+            yield batch.filter(pa.array(says(batch.column(at)), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def whole_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, batch_of, chunks, col, mix, powers, utf8
+from .common import U64, Words, batch_of, chunks, col, kept_rows, mix, powers, utf8
 
 WINDOW, LITERALS, SHARE, BLOCK_CHARS = 8, 4, 0.2, 8_000_000
 SCHEMA = "doc_id long, item_id long, n_windows long, share double, exact boolean"
@@ -188,12 +188,15 @@ def without_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, text:
     for part in blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(Block(part))
 
-        def run(batches, shared=shared):
+        def keep(shared=shared):
             block, canon = shared.value, Canon()
-            for batch in chunks(batches, text):
-                keep = np.ones(batch.num_rows, bool)
-                keep[[m[0] for m in block.matches(batch.column(text), canon, share)]] = False
-                yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+            def free(texts: pa.Array) -> np.ndarray:
+                out = np.ones(len(texts), bool)
+                out[[m[0] for m in block.matches(texts, canon, share)]] = False
+                return out
+
+            return free
+
+        docs = kept_rows(docs, text, keep)
     return docs

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, WordTable, batch_of, chunks, col, pick, utf8
+from .common import U64, Words, WordTable, batch_of, chunks, col, kept_rows, pick, utf8
 
 #: A run's first piece carries this mark in the vocabulary file.
 MARK = "▁"
@@ -189,10 +189,10 @@ def sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, chars: int = SAMPLE_CH
     return [(r.lang, r.text) for r in few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_each).orderBy("lang", "n").collect()]
 
 
-def score(batch: pa.RecordBatch, model: Model, cache: WordTable) -> tuple[list, np.ndarray]:
-    """The languages (und: None) and scores of a batch's texts."""
-    words = Words(*utf8(batch.column("text")), between=BETWEEN)
-    sums = np.zeros((batch.num_rows, cache.width))
+def score(texts: pa.Array, model: Model, cache: WordTable) -> tuple[list, np.ndarray]:
+    """The languages (und: None) and scores of texts."""
+    words = Words(*utf8(texts), between=BETWEEN)
+    sums = np.zeros((len(texts), cache.width))
     if len(words.hash):
         at = cache.index(words)
         each = cache.rows[at].astype(float)
@@ -211,31 +211,32 @@ def trained(docs: DataFrame, vocab_file: str, text: str = "text", lang: str = "l
     return fit(sample(pick(docs, text=text, lang=lang)), vocabulary(vocab_file))
 
 
-def _predict(docs: DataFrame, model: Model, schema: str, make) -> DataFrame:
+def identify(docs: DataFrame, model: Model, held_out: F.Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = shared.value
         cache = WordTable(len(model.languages) + 1, model.words_log)
         for batch in chunks(batches):
-            yield make(batch, *score(batch, model, cache))
-
-    return docs.mapInArrow(run, schema)
+            langs, scores = score(batch.column("text"), model, cache)
+            yield batch_of(doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), lang_pred=pa.array([x or "und" for x in langs], pa.string()), score=pa.array(scores, pa.float64()))
 
+    return docs.select(col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), col(text).alias("text")).mapInArrow(run, SCHEMA)
 
-def identify(docs: DataFrame, model: Model, held_out: F.Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row."""
-
-    def make(batch, langs, scores):
-        return batch_of(doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), lang_pred=pa.array([x or "und" for x in langs], pa.string()), score=pa.array(scores, pa.float64()))
 
-    return _predict(docs.select(col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), col(text).alias("text")), model, SCHEMA, make)
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.4, text: str = "text") -> DataFrame:
+    """The rows whose language is known with at least that score, all their columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def keep():
+        model = shared.value
+        cache = WordTable(len(model.languages) + 1, model.words_log)
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
-    """The rows whose language is known with at least that score, all their columns as they were."""
+        def known(texts: pa.Array) -> np.ndarray:
+            langs, scores = score(texts, model, cache)
+            return np.array([x is not None for x in langs], bool) & (scores >= least)
 
-    def make(batch, langs, scores):
-        return batch.filter(pa.array([x is not None and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+        return known
 
-    return _predict(docs, model, docs.schema, make)
+    return kept_rows(docs, text, keep)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, batch_of, chunks, col, mix, saved, utf8
+from .common import CHUNK_BYTES, U64, Words, batch_of, chunks, col, mix, saved, utf8
 
 #: Discounts and strengths of leaves and root; sweeps, of which the first isn't averaged; counts up to which customers are seated one by one.
 LEAF, ROOT, SWEEPS, EACH = (0.8, 1.0), (0.6, 1.0), 4, 16
@@ -188,7 +188,7 @@ def coded(docs: DataFrame, size: int = SHARD) -> DataFrame:
 
     def run(batches):
         base, number, held, n = TaskContext.get().partitionId() << 32, 0, [], 0
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=min(CHUNK_BYTES, size)):
             held.append(batch)
             n += len(utf8(batch.column("text"))[0]) + 64 * batch.num_rows
             if n >= size:

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import spans as S
 from .common import U64, Words, batch_of, chunks, code_points, col, mix, pick, saved, utf8
@@ -206,6 +207,5 @@ def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
             new = [t if not s else redacted(t, s, p) for t, s, p in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "shares")), strict=True)]
             yield batch_of(row=batch.column("row"), new=pa.array(new, pa.string()))
 
-    kind = left.schema["row"].dataType.simpleString()
-    done = both.mapInArrow(run, f"row {kind}, new string")
+    done = both.mapInArrow(run, T.StructType([left.schema["row"], T.StructField("new", T.StringType())]))
     return done.select([(F.col("new") if c == text else F.when(F.col("new").isNotNull(), F.length("new")).cast(docs.schema[c].dataType) if c == "n_chars" else F.col("row").getField(c)).alias(c) for c in docs.columns])
