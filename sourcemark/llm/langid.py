@@ -124,7 +124,7 @@ def by_length(runs: list[str]):
 
 
 def letter_runs(word: str) -> list[str]:
-    return [run[i : i + RUN] for run in LETTERS.findall(word.lower()) for i in range(0, len(run), RUN)]
+    return [run[i : i + RUN] for run in LETTERS.findall(word.lower()) if any(map(str.isalpha, run)) for i in range(0, len(run), RUN)]
 
 
 @dataclass
