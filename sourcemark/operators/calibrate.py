@@ -8,24 +8,33 @@ from pyspark.sql import functions as F
 
 # The fewest labelled rows, and the rounds of the bootstrap.
 FEWEST, ROUNDS = 200, 1000
+#: Steps of the floor, which lies in [0, 1], by which rows are counted first.
+BUCKETS = 4096
 
 
 def thresholds(labelled: DataFrame, target: float, *by: str, floor: str = "floor", label: str = "is_defect") -> DataFrame:
     """Per group: threshold (the floor at rank round(target * defects), half to even), achieved recall, false-positive rate and counts.
 
-    The rank is found from counts of distinct floors, added up in order, so a group's rows
-    are aggregated before they meet.
+    Counts by BUCKETS steps of the floor tell in which step the rank falls; only that
+    step's distinct floors are then put in order, so no task orders a whole group.
     """
     if not 0 < target <= 1:
         raise ValueError(f"target_recall {target} is not in (0, 1]")
-    rows = labelled.select(*by, F.col(floor).cast("double").alias("floor"), F.col(label).cast("boolean").alias("bad"))
-    steps = rows.groupBy(*by, "floor").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
-    order = Window.partitionBy(*by).orderBy("floor")
-    steps = steps.withColumn("bad_to", F.sum("bad").over(order)).withColumn("good_to", F.sum("good").over(order))
-    totals = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("bad").alias("n_positive"))
-    steps = steps.join(totals, list(by)) if by else steps.crossJoin(F.broadcast(totals))
+    step = F.least(F.greatest(F.floor(F.col("floor") * BUCKETS), F.lit(0)), F.lit(BUCKETS))
+    rows = labelled.select(*by, F.col(floor).cast("double").alias("floor"), F.col(label).cast("boolean").alias("bad")).withColumn("step", step)
+    counts = (F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
+    group, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("step")
+    coarse = rows.groupBy(*by, "step").agg(*counts)
+    coarse = coarse.withColumn("n_positive", F.sum("bad").over(group)).withColumn("n", F.sum(F.col("bad") + F.col("good")).over(group))
+    coarse = coarse.withColumn("bad_before", F.sum("bad").over(order) - F.col("bad")).withColumn("good_before", F.sum("good").over(order) - F.col("good"))
     rank = F.least(F.greatest(F.bround(F.lit(target) * F.col("n_positive")), F.lit(1)), F.col("n_positive"))
-    at = steps.where(F.col("bad_to") >= rank).groupBy(*by).agg(F.min_by(F.struct("floor", "bad_to", "good_to", "n", "n_positive"), "floor").alias("x"))
+    hit = coarse.withColumn("rank", rank).where((F.col("bad_before") < F.col("rank")) & (F.col("rank") <= F.col("bad_before") + F.col("bad"))).drop("bad", "good")
+    fine = rows.join(hit, [*by, "step"]).groupBy(*by, "floor", "rank", "n", "n_positive", "bad_before", "good_before").agg(*counts)
+    order = Window.partitionBy(*by).orderBy("floor")
+    fine = fine.withColumn("bad_to", F.col("bad_before") + F.sum("bad").over(order)).withColumn("good_to", F.col("good_before") + F.sum("good").over(order))
+    at = fine.where(F.col("bad_to") >= F.col("rank")).groupBy(*by).agg(F.min_by(F.struct("floor", "bad_to", "good_to", "n", "n_positive"), "floor").alias("x"))
+    if not by:
+        at = at.where(F.col("x").isNotNull())
     negative = F.col("x.n") - F.col("x.n_positive")
     return at.select(*by, F.col("x.floor").alias("threshold"), F.lit(target).alias("target_recall"), (F.col("x.bad_to") / F.col("x.n_positive")).alias("achieved_recall"), F.when(negative > 0, F.col("x.good_to") / negative).otherwise(float("nan")).alias("fpr"), F.col("x.n").alias("n"), F.col("x.n_positive").alias("n_positive"))
 
@@ -77,5 +86,8 @@ def calibrate(labelled: DataFrame, target_recall: float = 0.95, seed: int = 0, m
         raise ValueError("calibrate needs both defect and clean examples")
     point = thresholds(labelled, target_recall, *by, floor=floor, label=label)
     ci = bootstrap(labelled, target_recall, *by, seed=seed, floor=floor, label=label, order=order)
-    out = point.join(ci, list(by)) if by else point.crossJoin(F.broadcast(ci))
+    if not by:
+        low, high = ci.first()
+        return point.withColumn("fpr_ci95", F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")))
+    out = point.join(ci, list(by))
     return out.withColumn("fpr_ci95", F.struct(F.col("fpr_low").alias("low"), F.col("fpr_high").alias("high"))).drop("fpr_low", "fpr_high")
