@@ -158,9 +158,9 @@ def disclosing(rows: DataFrame, docs: DataFrame, support: int = SUPPORT, least:
     pair = some.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("p")).groupBy("p.e", "p.t").agg(F.count("*").alias("joint")).where(F.col("joint") >= support)
     held = some.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["e"]))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
     terms = docs.select("text").mapInArrow(_frequencies, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
-    total = rows.agg(F.count("*").alias("total"))
-    share = F.log(F.col("joint") * F.col("total") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("total") / F.col("n_e"))
-    return pair.join(held, "e").join(terms, "t").crossJoin(F.broadcast(total)).where("n_e < total").select("e", "t", share.alias("share")).where(F.col("share") >= least)
+    total = F.lit(rows.count())
+    share = F.log(F.col("joint") * total / (F.col("n_e") * F.col("n_t"))) / F.log(total / F.col("n_e"))
+    return pair.join(held, "e").join(terms, "t").where(F.col("n_e") < total).select("e", "t", share.alias("share")).where(F.col("share") >= least)
 
 
 def found(docs: DataFrame) -> DataFrame:
