@@ -45,11 +45,24 @@ _P = U64(0xA0761D6478BD642F)
 
 
 def pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    """Compressed, all first bytes first, then all second ones, ..."""
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() if len(x) else b"")
 
 
 def unpack(raw: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).reshape(-1) if len(planes) else np.zeros(0, kind)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences."""
+    return pack(np.diff(keys, prepend=np.zeros(1, np.uint64)))
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw, np.uint64), dtype=np.uint64)
 
 
 def message(rows: list[tuple]) -> pa.RecordBatch:
@@ -82,12 +95,20 @@ class Shard:
     def row(self, number: int) -> tuple:
         known = np.array([x is not None for x in self.ids])
         docs = np.concatenate([np.array([x or 0 for x in self.ids], np.int64), known, self.held, self.sizes]).astype(np.int64)
-        return (number, 0, -1, pack(docs), pack(self.words), pack(self.tokens.astype(np.int32)), None, None, None)
+        # words by falling frequency: places of frequent ones are small numbers
+        order = np.argsort(-np.bincount(self.tokens, minlength=len(self.words)), kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        return (number, 0, -1, pack(docs), pack(self.words[order]), pack(place[self.tokens]), None, None, None)
 
     @classmethod
     def of(cls, a: bytes, b: bytes, c: bytes) -> Shard:
         ids, known, held, sizes = unpack(a, np.int64).reshape(4, -1)
-        return cls([x if k else None for x, k in zip(ids.tolist(), known.tolist(), strict=True)], held > 0, sizes, unpack(b, np.uint64), unpack(c, np.int32).astype(np.int64))
+        words = unpack(b, np.uint64)
+        order = np.argsort(words)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return cls([x if k else None for x, k in zip(ids.tolist(), known.tolist(), strict=True)], held > 0, sizes, words[order], place[unpack(c, np.int32)])
 
     def pairs(self) -> None:
         """Distinct (context, word) pairs in the order of their keys: u, v, key, count in training texts; at: each token's pair."""
@@ -110,7 +131,7 @@ class Shard:
         """Messages of the keys of each bucket (their first bits) and what goes with them."""
         cut = np.searchsorted(keys >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(keys)])
         pad = [None] * (3 - len(columns))
-        return [(number, kind, b, pack(keys[i:j]), *(pack(c[i:j]) for c in columns), *pad, None, None) for b, (i, j) in enumerate(zip(cut.tolist(), cut.tolist()[1:], strict=False)) if j > i]
+        return [(number, kind, b, pack_sorted(keys[i:j]), *(pack(c[i:j]) for c in columns), *pad, None, None) for b, (i, j) in enumerate(zip(cut.tolist(), cut.tolist()[1:], strict=False)) if j > i]
 
 
 def seated(count: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator, sweeps: int = SWEEPS) -> np.ndarray:
@@ -173,14 +194,20 @@ def _shards(parts: list[DataFrame], make, schema: str) -> DataFrame:
     return every.groupBy("shard").applyInArrow(run, schema)
 
 
+def _only(answers: DataFrame, *columns: str) -> DataFrame:
+    """Answers without what the next step doesn't read."""
+    return answers.select([F.col(c) if c not in "abcd" or c in columns else F.lit(None).cast("binary").alias(c) for c in answers.columns])
+
+
 def _joined(rows: list[dict], column: str, kind) -> np.ndarray:
     return np.concatenate([unpack(r[column], kind) for r in rows])
 
 
 def _merged(rows: list[dict], *columns: tuple[str, type]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[int]]:
     """Distinct keys of a bucket, each entry's place in them, the columns' entries, and where each shard's end."""
-    keys, at = np.unique(_joined(rows, "a", np.uint64), return_inverse=True)
-    return keys, at, [_joined(rows, c, k) for c, k in columns], np.cumsum([len(unpack(r["a"], np.uint64)) for r in rows])[:-1].tolist()
+    each = [unpack_sorted(r["a"]) for r in rows]
+    keys, at = np.unique(np.concatenate(each), return_inverse=True)
+    return keys, at, [_joined(rows, c, k) for c, k in columns], np.cumsum([len(x) for x in each])[:-1].tolist()
 
 
 def coded(docs: DataFrame, size: int = SHARD) -> DataFrame:
@@ -216,6 +243,11 @@ def scored(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str =
         counts = [np.bincount(x, minlength=n).astype(np.int32) for x in (shard.tokens[train], shard.u[some], shard.v[some])]
         return message(shard.by_bucket(k, 1, shard.words, bits, *counts))
 
+    def ask_each(batches):
+        for batch in batches:
+            for r in (x for i in range(batch.num_rows) for x in batch.slice(i, 1).to_pylist()):
+                yield ask_words(r["shard"], Shard.of(r["a"], r["b"], r["c"]), None)
+
     def tell_words(bucket, rows):
         keys, at, columns, cut = _merged(rows, ("b", np.int32), ("c", np.int32), ("d", np.int32))
         total = [np.bincount(at, x, len(keys)).astype(np.int64) for x in columns]
@@ -223,7 +255,7 @@ def scored(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str =
         out = [(r["shard"], 1, bucket, *(pack(x) for x in parts), None, None, None) for r, *parts in zip(rows, *each, strict=True)]
         return [*out, (-1, 1, bucket, None, None, None, None, float(total[0].sum()), float((total[0] > 0).sum())), (-2, 1, bucket, None, None, None, None, float(total[2].sum()), None)]
 
-    words = saved(_answers(_shards([shards], ask_words, MESSAGE), tell_words))
+    words = saved(_answers(shards.mapInArrow(ask_each, MESSAGE), tell_words))
     sums = words.where("shard < 0").groupBy("shard").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()
     of = {r.shard: r for r in sums}
     tokens, known = (of[-1].n, of[-1].m) if of else (0.0, 0.0)
@@ -265,7 +297,7 @@ def scored(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str =
         out = [(r["shard"], 3, bucket, pack(x), pack(y), None, None, None, None) for r, x, y in zip(rows, np.split(context[at], cut), np.split(gain[at], cut), strict=True)]
         return [*out, (-1, 3, bucket, None, None, None, None, float(dish.sum()), float(tables.sum()))]
 
-    tables = saved(_answers(_shards([shards, gains], ask_tables, MESSAGE), tell_tables))
+    tables = saved(_answers(_shards([shards, _only(gains, "b")], ask_tables, MESSAGE), tell_tables))
     root = tables.where("shard < 0").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).first()
     customers, seats = root.n or 0.0, root.m or 0.0
 
@@ -282,4 +314,4 @@ def scored(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str =
         sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64)[shard.tokens], base[shard.tokens], np.log10(p)[shard.at])]
         return batch_of(doc_id=pa.array(shard.ids, pa.int64()), held_out=pa.array(shard.held), n_tokens=pa.array(shard.sizes, pa.int64()), n_known=pa.array(sums[0], pa.int64()), train_tokens=pa.array(np.full(len(first), int(tokens)), pa.int64()), base_score=pa.array(sums[1]), score=pa.array(sums[2]))
 
-    return _shards([shards, words, gains, tables.where("shard >= 0")], score, SCHEMA)
+    return _shards([shards, _only(words, "a"), _only(gains, "a"), tables.where("shard >= 0")], score, SCHEMA)

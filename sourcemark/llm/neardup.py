@@ -1,21 +1,23 @@
 """Near-duplicate groups by MinHash signatures posted under their coordinates.
 
-A document's set is its distinct shingles of `words` words. A signature has COORDS
-coordinates, each a hash of ROWS minima. Two sets of the least similarity collide in
-at least `need` coordinates but for a chance of MISS, so such a pair meets under one of
-the first COORDS - need + 1 (the prefix). Steps:
+A document's set is its distinct shingles of `words` words. Its signature has COORDS
+minima; a posted coordinate is a hash of ROWS of them. Steps:
 
 1. Equal sets are one class; only its smallest document goes on.
-2. Classes are posted under each (coordinate, value) of their prefix. Each posting list
-   links its smallest member to the others: linear in the list, whatever its size.
-3. Pairs that collide `need` times are confirmed on the full sets; the confirmed ones
-   give components.
-4. Lists that still hold several components are gone through once more, in blocks, for
-   the pairs across components that collide `need` times and were not looked at yet.
-   Members of one component need no further pair: their group is settled.
-
-So a pair is lost only where both its signature fails (MISS) and no path of other
-links joins it.
+2. Classes are posted under each (coordinate, value) of a prefix: as many coordinates as
+   leave a pair of the least similarity none in common with a chance of MISS at most.
+   Each posting list links its smallest member to the others: linear in the list,
+   whatever its size.
+3. Pairs that match in `need` minima (which such a pair fails with a chance of MISS) are
+   confirmed on the full sets; the confirmed ones give components.
+4. Lists that still hold several components are merged once more, in blocks, for the
+   pairs across components that match `need` times, each in the first list that it
+   shares. Only members go on, with whom they met; their sets come together by list and
+   block, and pairs are confirmed until they join nothing new: members of one component
+   need no further pair, and only links that join components come out.
+
+So a pair is lost only where its signature fails (twice MISS at most) and no path of
+other links joins it.
 
 Defined cases: null and empty texts have the empty set and link with nothing; a text of
 fewer words is one shingle; a null id is linked with nothing, has a null component and
@@ -25,7 +27,7 @@ ignored (groups) or kept as they were (one_each). An empty table gives no rows.
 
 from __future__ import annotations
 
-from math import comb
+from math import ceil, exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -34,22 +36,27 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, batch_of, chunks, col, mix, powers, saved, utf8, whole_runs
 
-COORDS, ROWS, MISS = 40, 4, 1e-6
+COORDS, ROWS, MISS = 256, 4, 1e-6
 #: A list is compared in blocks of so many members.
-BLOCK = 2048
+BLOCK = 256
 #: Pairs of one document that are confirmed together.
 PART = 128
 _P = 0xC2B2AE3D27D4EB4F
 _rng = np.random.default_rng(8)
-_FACTORS = _rng.integers(0, 2**32, COORDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_TERMS = _rng.integers(0, 2**32, COORDS * ROWS, dtype=np.uint32)
+_FACTORS = _rng.integers(0, 2**32, COORDS, dtype=np.uint32) | np.uint32(1)
+_TERMS = _rng.integers(0, 2**32, COORDS, dtype=np.uint32)
+
+
+def prefix_length(percent: int) -> int:
+    """Posted coordinates that leave a pair of that similarity without a common one with a chance of MISS at most."""
+    return min(COORDS // ROWS, ceil(log(MISS) / log(max(1e-9, 1 - (percent / 100) ** ROWS))))
 
 
-def collisions_needed(percent: int) -> int:
-    """The most collisions that pairs of that similarity reach but for a chance of MISS."""
-    p, below = (percent / 100) ** ROWS, 0.0
+def matches_needed(percent: int) -> int:
+    """The most minima in which pairs of that similarity match but for a chance of MISS."""
+    p, below = min(1 - 1e-9, percent / 100), 0.0
     for k in range(COORDS):
-        below += comb(COORDS, k) * p**k * (1 - p) ** (COORDS - k)
+        below += exp(lgamma(COORDS + 1) - lgamma(k + 1) - lgamma(COORDS - k + 1) + k * log(p) + (COORDS - k) * log(1 - p))
         if below > MISS:
             return max(1, k)
     return COORDS
@@ -69,32 +76,47 @@ def shingle_sets(texts: pa.Array, words: int = 5) -> list[np.ndarray]:
     return [np.unique(h[a : b - min(n, words) + 1]) if n else h[:0] for a, b, n in zip(w.first[:-1].tolist(), w.first[1:].tolist(), counts.tolist(), strict=True)]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """COORDS 64-bit values; shingles: not empty."""
-    x, low = (shingles ^ (shingles >> U64(32))).astype(np.uint32), np.full(len(_FACTORS), 2**32 - 1, np.uint32)
+def signature(shingles: np.ndarray, posted: int) -> tuple[np.ndarray, bytes]:
+    """The posted coordinates as 64-bit values, and a byte of each minimum; shingles: not empty."""
+    x, low = (shingles ^ (shingles >> U64(32))).astype(np.uint32), np.full(COORDS, 2**32 - 1, np.uint32)
     for i in range(0, len(x), 256):
         h = x[None, i : i + 256] * _FACTORS[:, None] + _TERMS[:, None]
         h ^= h >> np.uint32(15)
         np.minimum(low, h.min(1), out=low)
-    rows = low.reshape(COORDS, ROWS).astype(np.uint64)
-    out = np.arange(COORDS, dtype=np.uint64) + U64(1)
+    rows = low[: posted * ROWS].reshape(posted, ROWS).astype(np.uint64)
+    out = np.arange(posted, dtype=np.uint64) + U64(1)
     for k in range(ROWS):
         out = mix(out * U64(_P) + rows[:, k])
-    return out
+    return out, (low * np.uint32(2654435769) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
-def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, k1 and k2 (hashes of the whole set) and sig of every row; docs: doc_id, text."""
+def signatures(docs: DataFrame, posted: int, words: int = 5) -> DataFrame:
+    """doc_id, n_shingles, k1 and k2 (hashes of the whole set), keys and sketch of every row; docs: doc_id, text."""
 
     def run(batches):
         for batch in chunks(batches):
             sets = shingle_sets(batch.column("text"), words)
             k1 = [int(np.add.reduce(mix(s)).view(np.int64)) if len(s) else None for s in sets]
             k2 = [int(np.bitwise_xor.reduce(mix(s + U64(_P))).view(np.int64)) if len(s) else None for s in sets]
-            sig = [signature(s).view(np.int64) if len(s) else None for s in sets]
-            yield batch_of(doc_id=batch.column("doc_id"), n_shingles=pa.array([len(s) for s in sets], pa.int64()), k1=pa.array(k1, pa.int64()), k2=pa.array(k2, pa.int64()), sig=pa.array(sig, pa.list_(pa.int64())))
+            sig = [signature(s, posted) if len(s) else (None, None) for s in sets]
+            yield batch_of(doc_id=batch.column("doc_id"), n_shingles=pa.array([len(s) for s in sets], pa.int64()), k1=pa.array(k1, pa.int64()), k2=pa.array(k2, pa.int64()), keys=pa.array([k if k is None else k.view(np.int64) for k, _ in sig], pa.list_(pa.int64())), sketch=pa.array([x for _, x in sig], pa.binary()))
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>, sketch binary")
+
+
+def sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDS)
+
+
+def matching(pairs: DataFrame, need: int) -> DataFrame:
+    """a, b of the pairs whose sketches (x, y) match in `need` minima."""
+
+    def run(batches):
+        for batch in batches:
+            same = (sketches(batch.column("x")) == sketches(batch.column("y"))).sum(1) >= need
+            yield batch.select(["a", "b"]).filter(pa.array(same))
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig array<long>")
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int = 5) -> DataFrame:
@@ -148,57 +170,111 @@ def components(edges: DataFrame) -> DataFrame:
             return at.toDF("id", "component")
 
 
-def across(lists: DataFrame, need: int) -> DataFrame:
-    """Distinct a < b that collide `need` times, stand in one list and in different components; lists: key, n (the list's size), id, component, sig."""
+def across(lists: DataFrame, need: int, percent: int) -> DataFrame:
+    """Members of lists that match others of other components `need` times, and whose first common list it is: key, place, id, component, met (ids of the others, each pair with one of its two); lists: key, n (the list's size), id, component, size, keys, sketch."""
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     # every two blocks of a list meet in one place: block i goes to (i, j) and (j, i), ordered, for all j
     places = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j).cast("long") * F.lit(1 << 32) + F.greatest(own, j))
-    dealt = lists.select("key", "id", "component", "sig", own.alias("own"), F.explode(places).alias("place"))
+    dealt = lists.select("key", "id", "component", "size", "keys", "sketch", own.alias("own"), F.explode(places).alias("place"))
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         for held, cut in whole_runs(batches, ["key", "place"]):
-            ids, comp, own = (held.column(c).to_numpy() for c in ("id", "component", "own"))
-            sig = held.column("sig").combine_chunks().flatten().to_numpy().reshape(len(ids), COORDS)
-            a, b = [], []
+            ids, comp, own, size, key, place = (held.column(c).to_numpy() for c in ("id", "component", "own", "size", "key", "place"))
+            keys, sketch = held.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1), sketches(held.column("sketch"))
+            seen, met, n_met = np.zeros(len(ids), bool), {}, 0
+
+            def told(seen=seen, met=met, key=key, place=place, ids=ids, comp=comp):
+                at = np.flatnonzero(seen)
+                values = [met.get(x, ids[:0]) for x in at.tolist()]
+                ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([ids[:0], *values])))
+                seen[:] = False
+                met.clear()
+                return batch_of(key=pa.array(key[at]), place=pa.array(place[at]), id=pa.array(ids[at]), component=pa.array(comp[at]), met=lists)
+
             for i, j in zip(cut.tolist(), cut.tolist()[1:], strict=False):
                 order = i + np.lexsort((ids[i:j], own[i:j]))
-                x, c, s, o = ids[order], comp[order], np.ascontiguousarray(sig[order].T), own[order]
+                c, s, o, z = comp[order], sketch[order], own[order], 100 * size[order]
                 split = int(np.searchsorted(o, o[0], "right"))
                 for k in range(split):
-                    start = k + 1 if split == len(x) else split
-                    rest = start + np.flatnonzero(c[start:] != c[k])
+                    start = k + 1 if split == len(order) else split
+                    rest = start + np.flatnonzero((c[start:] != c[k]) & (z[start:] * 100 >= percent * z[k]) & (z[k] * 100 >= percent * z[start:]))
+                    rest = rest[(s[rest] == s[k]).sum(1) >= need] if len(rest) else rest
                     if len(rest):
-                        met = x[rest[(s[:, rest] == s[:, k : k + 1]).sum(0) >= need]]
-                        a += np.minimum(met, x[k]).tolist()
-                        b += np.maximum(met, x[k]).tolist()
+                        first = (keys[order[rest]] == keys[order[k]]).argmax(1)
+                        rest = order[rest[keys[order[k]][first] == key[i]]]
+                        if len(rest):
+                            met[int(order[k])] = ids[rest]
+                            seen[order[k]], seen[rest] = True, True
+                            n_met += len(rest)
+                if n_met > 50_000:  # never many pairs at once
+                    yield told()
+                    n_met = 0
+            yield told()
+
+    return dealt.repartition(n, "key", "place").sortWithinPartitions("key", "place").mapInArrow(run, "key long, place long, id long, component long, met array<long>")
+
+
+def linking(found: DataFrame, docs: DataFrame, percent: int, words: int = 5) -> DataFrame:
+    """Links a, b, confirmed on full sets, that join the components of `found` (of across); each text goes once to each place of its own."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = found.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("key", "place", "id", "component", "met", "text")
+
+    def run(batches):
+        for held, cut in whole_runs(batches, ["key", "place"]):
+            a, b = [], []
+            for i, j in zip(cut.tolist(), cut.tolist()[1:], strict=False):
+                some = held.slice(i, j - i).combine_chunks()
+                ids, comp, met = (some.column(c).to_pylist() for c in ("id", "component", "met"))
+                sets: list[np.ndarray] = []
+                for part in chunks(some.select(["text"]).to_batches()):
+                    sets += shingle_sets(part.column("text"), words)
+                at: dict[int, list[int]] = {}
+                for k, x in enumerate(ids):
+                    at.setdefault(x, []).append(k)
+                up: dict[int, int] = {}
+
+                def root(c, up=up):
+                    while c in up:
+                        c = up[c]
+                    return c
+
+                for k, others in enumerate(met):
+                    for y in others:
+                        p, q = root(comp[k]), root(comp[at[y][0]])
+                        # what other links have joined by now needs none
+                        if p != q and any(linked(sets[k], sets[m], percent) for m in at[y]):
+                            up[max(p, q)] = min(p, q)
+                            a.append(min(ids[k], y))
+                            b.append(max(ids[k], y))
             yield batch_of(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
 
-    return dealt.repartition(n, "key", "place").sortWithinPartitions("key", "place").mapInArrow(run, "a long, b long").distinct()
+    return texts.repartition(n, "key", "place").sortWithinPartitions("key", "place").mapInArrow(run, "a long, b long")
 
 
 def members(docs: DataFrame, percent: int, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; docs: doc_id, text."""
-    sigs = saved(signatures(docs, words))
+    posted, need = prefix_length(percent), matches_needed(percent)
+    sigs = saved(signatures(docs, posted, words))
     real = sigs.where(F.col("k1").isNotNull() & F.col("doc_id").isNotNull())
     # equal sets are one class, under its smallest document
-    classes = saved(real.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("k1", "k2", "m.*"))
-    need = collisions_needed(percent)
-    posts = classes.select("doc_id", F.explode(F.slice("sig", 1, COORDS - need + 1)).alias("key"))
+    best = F.min(F.struct("doc_id", "n_shingles", "keys", "sketch"))
+    classes = saved(real.groupBy("k1", "k2").agg(best.alias("m")).select("k1", "k2", "m.*"))
+    posts = classes.select("doc_id", F.explode("keys").alias("key"))
     least = posts.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").drop("z")
     star = posts.join(least, "key").where(F.col("a") < F.col("doc_id")).select("a", F.col("doc_id").alias("b")).distinct()
-    sig = classes.select("doc_id", "sig")
-    same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda e: e))
-    star = saved(star.join(sig.toDF("b", "sig_b"), "b").join(sig.toDF("a", "sig_a"), "a").where(same >= need).select("a", "b"))
+    sketch = classes.select("doc_id", "sketch")
+    star = saved(matching(star.join(sketch.toDF("b", "y"), "b").join(sketch.toDF("a", "x"), "a"), need))
     links = saved(confirmed(star, docs, percent, words))
     group = saved(components(links))
     lists = posts.join(group, posts.doc_id == group.id, "left").select("key", F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("component"))
     mixed = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-    more = across(lists.join(mixed, "key").join(sig.toDF("id", "sig"), "id"), need).join(star, ["a", "b"], "left_anti")
-    more = saved(more)
+    whole = classes.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "keys", "sketch")
+    more = saved(across(lists.join(mixed, "key").join(whole, "id"), need, percent))
     if not more.isEmpty():
-        more = saved(confirmed(more, docs, percent, words))
+        more = saved(linking(more, docs, percent, words))
         group = saved(components(links.union(more)))
     label = classes.join(group.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("k1", "k2", F.coalesce("component", "doc_id").alias("c"))
     return sigs.join(label, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
@@ -212,5 +288,6 @@ def groups(docs: DataFrame, percent: int = 80, words: int = 5, text: str = "text
 
 def one_each(docs: DataFrame, percent: int = 80, words: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows whose document is the smallest of its group, all their columns as they were."""
-    gone = groups(docs, percent, words, text, doc_id).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, col(doc_id).cast("long") == F.col("__gone"), "left_anti")
+    other = "_" + max(docs.columns, key=len)  # no column of docs has that name
+    gone = groups(docs, percent, words, text, doc_id).where(~F.col("kept")).select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(gone, col(doc_id).cast("long") == col(other), "left_anti")

@@ -35,36 +35,74 @@ _UNSURE = re.compile(r"[\x1c-\x1f\x85\u180e]")
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: A stretch of up to three tokens that are encoded on their own: a line end, a word of Latin letters with or without a space before it, stops.
+_PLAIN = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]*)")
+
+
+def byte_letters() -> list[str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in plain else next(rest)) for b in range(256)]
+
+
 class Encoder:
     """Ids as little-endian bytes. Texts are encoded by stretches that end before white space, each distinct one once."""
 
-    def __init__(self, tokenizer_file: str, limit: int = 250_000):
+    def __init__(self, tokenizer_file: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.limit, self.known = Tokenizer.from_file(tokenizer_file), limit, {}
+        self.model, self.limit = Tokenizer.from_file(tokenizer_file), limit
+        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
         self.model.encode_special_tokens = True
+        self.bpe, self.letters = self.model.model, byte_letters()
+
+    def word(self, word: str) -> bytes:
+        """A token's ids by the vocabulary's merges alone."""
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.words[word] = array("I", [x.id for x in self.bpe.tokenize("".join([self.letters[b] for b in word.encode()]))]).tobytes()
+        return ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
         parts = [[t] if _UNSURE.search(t) else _PART.findall(t) for t in texts]
         if len(self.known) > self.limit:
             self.known = {}
-        new = list({p for ps in parts for p in ps} - self.known.keys())
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
+        if len(self.words) > self.limit:
+            self.words = {"": b""}
+        others, word = [], self.word
+        for p in {p for ps in parts for p in ps} - self.known.keys():
+            if m := _PLAIN.fullmatch(p):
+                self.known[p] = word(m[1]) + word(m[2]) + word(m[3])
+            else:
+                others.append(p)
+        for i in range(0, len(others), 10_000):
+            some = others[i : i + 10_000]
             self.known.update(zip(some, (array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(some, add_special_tokens=False)), strict=True))
         return [b"".join(map(self.known.__getitem__, ps)) for ps in parts]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer_file: str) -> Encoder:
+    """This process's encoder, kept from task to task."""
+    if tokenizer_file not in _encoders:
+        _encoders[tokenizer_file] = Encoder(tokenizer_file)
+    return _encoders[tokenizer_file]
+
+
 def pieces(docs: DataFrame, tokenizer_file: str, size: int = SIZE, end: int = END) -> DataFrame:
     """Every document's pieces; docs: doc_id, text."""
     close = array("I", [end]).tobytes()
 
     def run(batches):
-        encoder = Encoder(tokenizer_file)
+        own = encoder(tokenizer_file)
         for batch in chunks(batches):
             owner, number, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoder.ids([t or "" for t in batch.column("text").to_pylist()])):
+            for i, ids in enumerate(own.ids([t or "" for t in batch.column("text").to_pylist()])):
                 ids += close
                 n = len(ids) // 4
                 cuts = [0, *range(n - size * ((n - 1) // size), n + 1, size)]

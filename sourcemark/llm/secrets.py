@@ -61,8 +61,22 @@ def hex_rows(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return rows
 
 
+#: A word of letters with marks behind it: all that matters of it is its case, size and last mark.
+_PLAIN = re.compile(r"([^\W\d_]+)([^\w=:@/+]*)")
+
+
+def plain(word: str) -> tuple[str, int, str] | None:
+    m = _PLAIN.fullmatch(word)
+    if not m or _NAMED.search(word):
+        return None
+    core = m[1]
+    return "A" if core.isupper() else "Aa" if core[0].isupper() else "a", min(len(core), 64) // 4, m[2][-1:]
+
+
 def features(word: str) -> tuple[list[str], list[str]]:
     """Of a word: as itself, and as a neighbour."""
+    if key := plain(word):
+        return [f"plain {key[0]}", f"plain size {key[1]}"], [f"ends {key[2]}", f"n {min(key[1], 10) // 2}"]
     shape = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "a" if m[0].islower() else "Aa" if m[0][1:].islower() else "aA", re.sub("[0-9]+", "9", word))
     core = word.strip("\"',;:.()[]{}*#$%&!?")
     n, counts = len(core), Counter(core)
@@ -92,13 +106,18 @@ class Field:
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Per word nine numbers: its share in its own score, in the next word's and in that of the word before."""
-        out = np.zeros((len(words), 3, 3))
-        for i, word in enumerate(words):
-            own, near = (list(map(number, f)) for f in features(word[:200]))
-            out[i, 0] = self.w[0, own].sum(0)
-            out[i, 1] = self.w[1, near].sum(0)
-            out[i, 2] = self.w[2, near].sum(0)
-        return out.reshape(-1, 9)
+        known: dict[tuple, np.ndarray] = {}
+        out = []
+        for word in words:
+            key = plain(word[:200])
+            row = known.get(key) if key else None
+            if row is None:
+                own, near = (list(map(number, f)) for f in features(word[:200]))
+                row = np.concatenate([self.w[0, own].sum(0), self.w[1, near].sum(0), self.w[2, near].sum(0)])
+                if key:
+                    known[key] = row
+            out.append(row)
+        return np.array(out).reshape(-1, 9)
 
 
 def fit(stretches: list[tuple[list[str], list[int], int]], rounds: int = 30, rate: float = 0.15) -> Field:
