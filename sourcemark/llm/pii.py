@@ -34,8 +34,8 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: Words to either side of an entity in which terms are looked for; the shortest term; documents that must hold both; shares of the entity's information.
-WINDOW, SHORTEST, SUPPORT, GENERALISE, REMOVE = 6, 3, 3, 0.9, 0.98
+#: Words to either side of an entity in which terms are looked for; the shortest term; shares of the entity's information.
+WINDOW, SHORTEST, GENERALISE, REMOVE = 6, 3, 0.9, 0.98
 #: Terms are runs of ASCII letters and of bytes of other scripts, lower-cased.
 BETWEEN = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 
@@ -152,10 +152,10 @@ def scanned(docs: DataFrame) -> DataFrame:
     return saved(out.withColumn("rid", F.monotonically_increasing_id()))
 
 
-def disclosing(rows: DataFrame, docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+def disclosing(rows: DataFrame, docs: DataFrame, least: float = GENERALISE) -> DataFrame:
     """e, t and share of the terms that disclose an entity; rows: of scanned()."""
     some = rows.where(F.size("near") > 0)
-    pair = some.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("p")).groupBy("p.e", "p.t").agg(F.count("*").alias("joint")).where(F.col("joint") >= support)
+    pair = some.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("p")).groupBy("p.e", "p.t").agg(F.count("*").alias("joint"))
     held = some.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["e"]))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
     terms = docs.select("text").mapInArrow(_frequencies, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
     total = F.lit(rows.count())

@@ -67,6 +67,18 @@ def test_terms_that_disclose(docs_of):
     assert [out[i].text for i, _ in clean] == [t for _, t in clean]
 
 
+def test_an_entity_of_one_document_has_terms(docs_of):
+    docs = [(0, "a letter about lunch from Zorbaline to bob@corp.example"), *((1 + i, "a letter about lunch from someone") for i in range(40))]
+    rows = {r.doc_id: r.spans for r in P.report(docs_of(docs)).collect()}
+    at = docs[0][1].index("Zorbaline")
+    assert f"term:{at}:{at + 9}" in rows[0].split(",")
+    assert rows[0].count("term") == 1
+
+
+def test_terms_stand_on_the_table(documents):
+    assert any("term" in r.spans for r in P.report(documents).collect())
+
+
 def test_edges(docs_of):
     assert len(P.report(docs_of(MESS)).collect()) == len(MESS)
     out = P.redact(docs_of(MESS))
