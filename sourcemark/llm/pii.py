@@ -1,11 +1,14 @@
 """Personal data: fixed patterns, and terms that give a protected value away.
 
 Each value that a pattern finds (an address, a card, ...) is a protected entity. A
-term that stands within WINDOW words of it discloses it by their pointwise mutual
-information over the corpus, as a share of the entity's information content
--log p(entity); both are counted over all documents. In documents that hold the
-entity, terms from GENERALISE on are replaced by their class and those from REMOVE
-on are dropped.
+term discloses it by their pointwise mutual information over the corpus, as a share of
+the entity's information content -log p(entity); both are counted by documents, wherever
+in them they stand. In documents that hold the entity, every occurrence of a term from
+GENERALISE on is replaced by its class and of one from REMOVE on dropped.
+
+Entities that stand in the same documents have the same terms, so they are counted as
+one group. A pair's documents are at most the entity's, which bounds its share: terms
+that are too frequent for any group of their document are left out before pairs are made.
 
 Defined cases: a null text is empty and has no spans; a null id stays null; repeated
 rows count as documents of their own and get equal answers; further columns are
@@ -34,8 +37,10 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: Words to either side of an entity in which terms are looked for; the shortest term; shares of the entity's information.
-WINDOW, SHORTEST, GENERALISE, REMOVE = 6, 3, 0.9, 0.98
+#: The shortest term; shares of the entity's information.
+SHORTEST, GENERALISE, REMOVE = 3, 0.9, 0.98
+#: Of the terms that are too frequent for every entity, so many are left out where texts are read, the others by a join.
+FREQUENT = 100_000
 #: Terms are runs of ASCII letters and of bytes of other scripts, lower-cased.
 BETWEEN = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 
@@ -82,28 +87,20 @@ def entity(text: str, span: tuple[int, int, int]) -> int:
 
 def _scan(batches):
     for batch in chunks(batches):
-        texts, lists, around = batch.column("text").to_pylist(), [], []
-        data, offs = utf8(batch.column("text"))
-        for i, text in enumerate(texts):
-            found = base_spans(text) if text else []
-            lists.append(S.structs(found))
-            near = {}
-            if found:
-                raw = data[offs[i] : offs[i + 1]]
-                w, points = Words(raw, np.array([0, len(raw)]), between=BETWEEN), code_points(raw)
-                start, end, h = points[w.start], points[w.end], w.hash.view(np.int64)
-                free = end - start >= SHORTEST
-                for s, _, f in found:
-                    free &= (end <= s) | (start >= f)
-                for span in found:
-                    left, right = np.searchsorted(end, span[0], "right"), np.searchsorted(start, span[2])
-                    e = entity(text, span)
-                    for j in (*range(max(0, left - WINDOW), left), *range(right, min(len(start), right + WINDOW))):
-                        if free[j]:
-                            near[e, int(h[j]), int(start[j]), int(end[j])] = 1
-            around.append([{"e": e, "t": t, "s": s, "f": f} for e, t, s, f in near])
-        kind = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("f", pa.int32())]))
-        yield batch_of(doc_id=batch.column("doc_id"), h=batch.column("h"), base=pa.array(lists, S.ARROW), near=pa.array(around, kind))
+        texts = batch.column("text").to_pylist()
+        lists = [base_spans(text) if text else [] for text in texts]
+        entities = [sorted({entity(text, span) for span in found}) for text, found in zip(texts, lists, strict=True)]
+        held = [text if found else None for text, found in zip(texts, lists, strict=True)]
+        yield batch_of(doc_id=batch.column("doc_id"), h=batch.column("h"), base=pa.array([S.structs(found) for found in lists], S.ARROW), entities=pa.array(entities, pa.list_(pa.int64())), text=pa.array(held, pa.string()))
+
+
+def _terms(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts, where each starts and ends in its text in code points, and whether it is long enough for a term."""
+    data, offs = utf8(texts)
+    w, points = Words(data, offs, between=BETWEEN), code_points(data)
+    before = points[offs[w.row]]
+    start, end = points[w.start] - before, points[w.end] - before
+    return w, start, end, end - start >= SHORTEST
 
 
 class Tally:
@@ -146,32 +143,68 @@ def _tally_rows(tally: Tally) -> pa.RecordBatch:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): rid, doc_id, h (a hash of the text), base spans, and the terms near each entity."""
+    """Per row of docs (doc_id, text): rid, doc_id, h (a hash of the text), base spans, the distinct entities and, if there are any, the text."""
     wide = docs.withColumn("h", F.xxhash64("text"))
-    out = wide.mapInArrow(_scan, f"doc_id long, h long, base {S.TYPE}, near array<struct<e:long,t:long,s:int,f:int>>")
+    out = wide.mapInArrow(_scan, f"doc_id long, h long, base {S.TYPE}, entities array<long>, text string")
     return saved(out.withColumn("rid", F.monotonically_increasing_id()))
 
 
 def disclosing(rows: DataFrame, docs: DataFrame, least: float = GENERALISE) -> DataFrame:
-    """e, t and share of the terms that disclose an entity; rows: of scanned()."""
-    some = rows.where(F.size("near") > 0)
-    pair = some.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("p")).groupBy("p.e", "p.t").agg(F.count("*").alias("joint"))
-    held = some.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["e"]))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    terms = docs.select("text").mapInArrow(_frequencies, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
-    total = F.lit(rows.count())
-    share = F.log(F.col("joint") * total / (F.col("n_e") * F.col("n_t"))) / F.log(total / F.col("n_e"))
-    return pair.join(held, "e").join(terms, "t").where(F.col("n_e") < total).select("e", "t", share.alias("share")).where(F.col("share") >= least)
+    """rid, t and share of the terms that disclose an entity of their document, the largest share of each; rows: of scanned()."""
+    total = rows.count()
+    some = rows.where(F.size("entities") > 0)
+    held = some.select("rid", F.explode("entities").alias("e"))
+    of = held.groupBy("e").agg(F.count("*").alias("n_g"), F.bit_xor(F.xxhash64("rid")).alias("g")).where(F.col("n_g") < total)
+    group = saved(held.join(of, "e").select("rid", "g", "n_g").distinct())
+    most = group.agg(F.max("n_g")).first()[0]
+    terms = saved(docs.select("text").mapInArrow(_frequencies, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t")))
+
+    def bound(n_g):
+        """The most documents of a term that can reach the share, with room for rounding."""
+        return F.pow(n_g, F.lit(least)) * F.pow(F.lit(float(total)), F.lit(1 - least)) * (1 + 1e-9)
+
+    often = terms.where(F.col("n_t") > bound(F.lit(float(most or 0)))).orderBy(F.desc("n_t"), "t").limit(FREQUENT)
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.t for r in often.collect()], np.int64)))
+
+    def distinct(batches):
+        often = shared.value
+        for batch in chunks(batches):
+            w, _, _, free = _terms(batch.column("text"))
+            free &= ~np.isin(w.hash.view(np.int64), often)
+            _, first = np.unique(w.hash[free] ^ mix(w.row[free].astype(np.uint64)), return_index=True)
+            at = np.flatnonzero(free)[first]
+            yield batch_of(rid=batch.column("rid").take(pa.array(w.row[at])), t=pa.array(w.hash[at].view(np.int64)))
+
+    fits = F.col("n_t") <= bound(F.col("n_g"))
+    pair = some.select("rid", "text").mapInArrow(distinct, "rid long, t long").join(terms, "t").where(F.col("n_t") <= bound(F.lit(float(most or 0)))).join(group, "rid").where(fits)
+    share = F.log(F.col("joint") * total / (F.col("n_g") * F.col("n_t"))) / F.log(total / F.col("n_g"))
+    by = pair.groupBy("g", "n_g", "t", "n_t").agg(F.count("*").alias("joint")).select("g", "n_g", "t", share.alias("share")).where(F.col("share") >= least)
+    return pair.select("rid", "g", "n_g", "t").join(by, ["g", "n_g", "t"]).groupBy("rid", "t").agg(F.max("share").alias("share"))
+
+
+def _marked(batches):
+    """Every occurrence of a row's terms outside its base spans, sorted, and its share."""
+    for batch in chunks(batches):
+        w, start, end, free = _terms(batch.column("text"))
+        hashes, spans, shares = w.hash.view(np.int64), [], []
+        for i, (base, terms) in enumerate(zip(batch.column("base").to_pylist(), batch.column("terms").to_pylist(), strict=True)):
+            at = np.arange(w.first[i], w.first[i + 1])
+            known = {x["t"]: x["share"] for x in terms}
+            at = at[free[at] & np.isin(hashes[at], np.array(list(known), np.int64))]
+            for x in base:
+                at = at[(end[at] <= x["s"]) | (start[at] >= x["f"])]
+            spans.append([{"s": s, "k": TERM, "f": f} for s, f in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            shares.append([known[t] for t in hashes[at].tolist()])
+        yield batch_of(rid=batch.column("rid"), terms=pa.array(spans, S.ARROW), shares=pa.array(shares, pa.list_(pa.float64())))
 
 
 def found(docs: DataFrame) -> DataFrame:
     """rid, doc_id, h, base and all spans, and the shares of the term spans in their order; docs: doc_id, text."""
     rows = scanned(docs)
-    near = rows.where(F.size("near") > 0).select("rid", F.explode("near").alias("x")).select("rid", "x.*")
-    terms = near.join(disclosing(rows, docs), ["e", "t"]).groupBy("rid", "s", "f").agg(F.max("share").alias("share"))
-    terms = terms.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("s", F.lit(TERM).alias("k"), "f", "share"))).alias("terms"))
-    both = rows.join(terms, "rid", "left")
-    plain = F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["f"].alias("f")))
-    return both.select("rid", "doc_id", "h", "base", F.array_sort(F.concat("base", F.coalesce(plain, F.expr(f"cast(array() as {S.TYPE})")))).alias("spans"), F.transform("terms", lambda x: x["share"]).alias("shares"))
+    each = disclosing(rows, docs).groupBy("rid").agg(F.collect_list(F.struct("t", "share")).alias("terms"))
+    marked = rows.join(each, "rid").select("rid", "base", "text", "terms").mapInArrow(_marked, f"rid long, terms {S.TYPE}, shares array<double>")
+    both = rows.drop("text", "entities").join(marked, "rid", "left")
+    return both.select("rid", "doc_id", "h", "base", F.array_sort(F.concat("base", F.coalesce("terms", F.expr(f"cast(array() as {S.TYPE})")))).alias("spans"), "shares")
 
 
 def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import re
 
 import pytest
@@ -79,6 +80,37 @@ def test_terms_stand_on_the_table(documents):
     assert any("term" in r.spans for r in P.report(documents).collect())
 
 
+def by_counting(texts):
+    """Term spans of texts whose words are parted by single spaces, by counting documents."""
+    held = [{P.entity(x, s) for s in P.base_spans(x)} for x in texts]
+    words = [{v.lower() for v in re.findall("[a-zA-Z]+", x) if len(v) >= P.SHORTEST} for x in texts]
+    n, out = len(texts), []
+    for x, entities, terms in zip(texts, held, words, strict=True):
+        marked = set()
+        for e in entities:
+            n_e = sum(e in h for h in held)
+            for t in terms:
+                joint, n_t = sum(e in h and t in w for h, w in zip(held, words, strict=True)), sum(t in w for w in words)
+                if n_e < n and math.log(joint * n / (n_e * n_t)) / math.log(n / n_e) >= P.GENERALISE:
+                    marked.add(t)
+        base = P.base_spans(x)
+        out.append(sorted((m.start(), m.end()) for m in re.finditer("[a-zA-Z]+", x) if m[0].lower() in marked and all(m.end() <= s or m.start() >= f for s, _, f in base)))
+    return out
+
+
+def test_terms_are_counted_and_marked_throughout_documents(docs_of):
+    far = " ".join(["and so on"] * 5)
+    texts = [f"write to bob@corp.example {far} yours Zorbaline" + (" or Zorbaline again" if i == 3 else "") for i in range(6)]
+    texts += [f"call +1 499 555 650{i} {far} {name} and corp" for i, name in enumerate(["Quux", "Wibble", "Quux"])]
+    texts += [f"{far} write yours again or call {i}" for i in range(60)]
+    want = by_counting(texts)
+    rows = {r.doc_id: r for r in P.report(docs_of(list(enumerate(texts)))).collect()}
+    got = [sorted((int(s), int(f)) for k, s, f in (x.split(":") for x in rows[i].spans.split(",") if x) if k == "term") for i in range(len(texts))]
+    assert got == want
+    assert [texts[3][s:f] for s, f in got[3]].count("Zorbaline") == 2
+    assert "Wibble" in [texts[7][s:f] for s, f in got[7]]
+
+
 def test_edges(docs_of):
     assert len(P.report(docs_of(MESS)).collect()) == len(MESS)
     out = P.redact(docs_of(MESS))
