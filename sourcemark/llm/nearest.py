@@ -3,13 +3,17 @@
 Each of TABLES hashes turns a unit vector by three rounds of random signs and a fast
 Hadamard transform, and takes the nearest signed axis. A query looks into the PROBES
 buckets nearest to its own turned vector in each table; what it finds there is ranked by
-its exact inner product. Vectors of unequal length get one more coordinate that makes
-them unit vectors and keeps the order of their inner products with a query.
+its exact inner product. Rows are taken by ranges of their norm, each at most a quarter
+of a power of two wide; where norms in one differ, vectors get one more coordinate that
+makes them unit vectors by the range's largest norm and keeps the order of their inner
+products with a query, so that one large norm doesn't change how other ranges are hashed.
+A query probes all ranges; those of at most FEW rows are ranked whole. Queries that still
+found fewer than k rows, with more there, are ranked against all rows in a second pass.
 
 The queries are a stated set: blocks of at most BLOCK of them go to all rows, one pass
 each, so that no row is shuffled and no bucket, however full, meets in one task; each
-task sends on its best `k` of each query. Every row is indexed and every row of a probed
-bucket is ranked.
+task sends on its best `k` of each query. Every row is indexed or ranked, and every row of
+a probed bucket is ranked.
 
 Defined cases: vectors that are null, empty, zero or hold a null or a number that is not
 finite take no part, nor do rows without an id; vectors of another size than the query's
@@ -25,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, col
+from .common import batch_of, col, saved
 
 TABLES, PROBES, BLOCK, ROWS = 12, 16, 20_000, 20_000
+#: Rows of a range of norms up to which each query is ranked against all of them.
+FEW = 1000
 #: Scores closer than this are told apart by summing anew.
 TIE = 1e-9
 PAIRS = "query_id long, vec_id long, score double"
@@ -44,18 +50,19 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    def __init__(self, size: int, longest: float, level: bool, tables: int = TABLES):
-        """longest: the largest norm; level: whether all norms are about that."""
-        self.size, self.longest, self.level = size, longest, level
+    def __init__(self, size: int, ranges: dict[int, tuple[float, bool]], level: bool, tables: int = TABLES):
+        """ranges: by number the largest norm and whether to rank all rows; level: whether all norms of each other range are about its largest."""
+        self.size, self.ranges, self.level = size, ranges, level
         self.width = 1 << max(1, (size + (not level) - 1).bit_length())
         self.signs = np.random.default_rng(64).choice([-1.0, 1.0], (tables, 3, self.width))
 
-    def lift(self, x: np.ndarray, query: bool) -> np.ndarray:
+    def lift(self, x: np.ndarray, longest: np.ndarray | None = None) -> np.ndarray:
+        """Unit vectors of queries, or of rows, given the largest norm of each one's range."""
         out = np.zeros((len(x), self.width))
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        out[:, : self.size] = x / (norm if query or self.level else self.longest)
-        if not (query or self.level):
-            out[:, self.size] = np.sqrt(np.maximum(0, 1 - (norm[:, 0] / self.longest) ** 2))
+        norm = np.linalg.norm(x, axis=1)
+        out[:, : self.size] = x / (norm if longest is None or self.level else longest)[:, None]
+        if not (longest is None or self.level):
+            out[:, self.size] = np.sqrt(np.maximum(0, 1 - (norm / longest) ** 2))
         return out
 
     def turned(self, x: np.ndarray, table: int) -> np.ndarray:
@@ -69,7 +76,7 @@ class Index:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, hashes: Hashes, k: int, probes: int = PROBES):
         self.ids, self.vectors, self.hashes, self.k = ids, vectors, hashes, k
-        lifted = hashes.lift(vectors, True)
+        lifted = hashes.lift(vectors)
         self.probed: list[dict[int, np.ndarray]] = []
         for t in range(len(hashes.signs)):
             turned = hashes.turned(lifted, t)
@@ -80,22 +87,34 @@ class Index:
             cut = np.flatnonzero(np.diff(buckets[order])) + 1
             self.probed.append({int(buckets[g[0]]): who[g] for g in np.split(order, cut) if len(g)})
 
-    def search(self, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, ids: np.ndarray, x: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each query the k best rows found, as (query's place, id, score)."""
-        q, c, lifted = [], [], self.hashes.lift(x, False)
-        for t, probed in enumerate(self.probed):
+        q, c = [], []
+
+        def rank(who: np.ndarray, rows: np.ndarray) -> None:
+            for a in range(0, len(who), 2048):
+                some = who[a : a + 2048]
+                s = self.vectors[some] @ x[rows].T
+                s[self.ids[some][:, None] == ids[rows][None, :]] = -np.inf
+                least = -np.partition(-s, self.k - 1, 1)[:, self.k - 1 : self.k] if s.shape[1] > self.k else -np.inf
+                at, to = np.nonzero((s >= least - TIE) & (s > -np.inf))
+                q.append(some[at])
+                c.append(rows[to])
+
+        known, which = np.unique(ranges, return_inverse=True)
+        longest = np.array([self.hashes.ranges[r][0] for r in known.tolist()])[which]
+        whole = np.array([self.hashes.ranges[r][1] for r in known.tolist()])[which]
+        full, others = np.flatnonzero(whole), np.flatnonzero(~whole)
+        for a in range(0, len(full), 2048):
+            rank(np.arange(len(self.ids)), full[a : a + 2048])
+        lifted = self.hashes.lift(x[others], longest[others])
+        for t, probed in enumerate(self.probed if len(others) else ()):
             code = self.hashes.turned(lifted, t).argmax(1)
             order = np.argsort(code, kind="stable")
             for rows in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
-                who = probed.get(int(code[rows[0]])) if len(rows) else None
-                for a in range(0, len(who) if who is not None else 0, 2048):
-                    some = who[a : a + 2048]
-                    s = self.vectors[some] @ x[rows].T
-                    s[self.ids[some][:, None] == ids[rows][None, :]] = -np.inf
-                    least = -np.partition(-s, self.k - 1, 1)[:, self.k - 1 : self.k] if s.shape[1] > self.k else -np.inf
-                    at, to = np.nonzero((s >= least - TIE) & (s > -np.inf))
-                    q.append(some[at])
-                    c.append(rows[to])
+                who = probed.get(int(code[rows[0]]))
+                if who is not None:
+                    rank(who, others[rows])
         q, c = (np.concatenate([*a, np.zeros(0, np.int64)]).astype(np.int64) for a in (q, c))
         pair = np.unique(q * len(x) + c) if len(q) else q
         q, c = pair // max(1, len(x)), pair % max(1, len(x))
@@ -119,27 +138,50 @@ def matrix(vectors: pa.Array, size: int) -> np.ndarray:
 
 
 def usable(rows: DataFrame, vector: str, vec_id: str) -> DataFrame:
-    """vec_id, v (doubles) and norm of the rows that take part."""
+    """vec_id, v (doubles), norm and its range of the rows that take part."""
     v = F.transform(col(vector), lambda x: x.cast("double"))
     out = rows.select(col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") > 0))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return out.where(~bad).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
+    out = out.where(~bad).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
+    return out.withColumn("range", F.floor(4 * F.log2("norm") + 0.5).cast("int"))
 
 
 def search(rows: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding", vec_id: str = "vec_id", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: for rows whose id is divisible by `every`, the k nearest found among all others."""
     good = usable(rows, vector, vec_id)
     asked = good.where(F.col("vec_id") % every == 0)
-    sizes = good.groupBy(F.size("v").alias("size")).agg(F.max("norm").alias("hi"), F.min("norm").alias("lo"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("n")).orderBy("size").collect()
+    kinds = good.groupBy(F.size("v").alias("size"), "range").agg(F.max("norm").alias("hi"), F.min("norm").alias("lo"), F.count("*").alias("rows"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("n")).collect()
     out = rows.sparkSession.createDataFrame([], PAIRS)
-    for s in sizes:
-        blocks = -(-s.n // BLOCK)
-        hashes = Hashes(s.size, s.hi, s.hi - s.lo <= 1e-3 * s.hi, tables)
-        for b in range(blocks):
-            block = asked.where((F.size("v") == s.size) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).select("vec_id", "v").toArrow().sort_by("vec_id")
-            index = Index(block.column("vec_id").to_numpy(), matrix(block.column("v"), s.size), hashes, k, probes)
-            out = out.unionByName(_pass(good.where(F.size("v") == s.size).select("vec_id", "v"), index))
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def passes(asked: DataFrame, n: int, hashes: Hashes) -> DataFrame:
+        blocks, out = -(-n // BLOCK), None
+        for b in range(blocks):
+            block = asked.where((F.size("v") == hashes.size) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).select("vec_id", "v").toArrow().sort_by("vec_id")
+            index = Index(block.column("vec_id").to_numpy(), matrix(block.column("v"), hashes.size), hashes, k, probes)
+            new = _pass(good.where(F.size("v") == hashes.size).select("vec_id", "v", "range"), index)
+            out = new if out is None else out.unionByName(new)
+        return out
+
+    sizes = sorted({r["size"] for r in kinds if r.n})
+    for size in sizes:
+        mine = [r for r in kinds if r["size"] == size]
+        level = all(r.hi - r.lo <= 1e-3 * r.hi for r in mine if r.rows > FEW)
+        hashes = Hashes(size, {r["range"]: (r.hi, r.rows <= FEW) for r in mine}, level, tables)
+        out = out.unionByName(passes(asked, sum(r.n for r in mine), hashes))
+    out = saved(out.dropDuplicates().withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).drop("rank"))
+    # each size's other rows: of a query that found fewer than k, or than there are, all are ranked
+    there = good.groupBy(F.size("v").alias("size")).agg((F.count_distinct("vec_id") - 1).alias("others"))
+    met = out.groupBy("query_id").agg(F.count("*").alias("met"))
+    may = asked.select("vec_id", F.size("v").alias("size")).distinct().join(there, "size").groupBy("vec_id").agg(F.sum("others").alias("others"))
+    short = saved(may.join(met, may.vec_id == met.query_id, "left").where(F.coalesce("met", F.lit(0)) < F.least(F.lit(k), "others")).select("vec_id"))
+    again = asked.join(short, "vec_id")
+    left = {r["size"]: r.n for r in again.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).collect()}
+    if left:
+        out = out.join(short, out.query_id == short.vec_id, "left_anti")
+    for size, n in sorted(left.items()):
+        every_row = Hashes(size, {r["range"]: (r.hi, True) for r in kinds if r["size"] == size}, True, 0)
+        out = out.unionByName(passes(again, n, every_row))
     return out.dropDuplicates().withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -152,7 +194,7 @@ def _pass(rows: DataFrame, index: Index) -> DataFrame:
 
         def merged():
             some = pa.Table.from_batches(held).combine_chunks()
-            new = index.search(some.column("vec_id").to_numpy(), matrix(some.column("v"), index.hashes.size))
+            new = index.search(some.column("vec_id").to_numpy(), matrix(some.column("v"), index.hashes.size), some.column("range").to_numpy())
             return index.best(*(np.concatenate(x) for x in zip(found, new, strict=True)))
 
         for batch in batches:

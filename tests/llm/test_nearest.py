@@ -55,6 +55,30 @@ def test_lengths_ties_and_blocks(spark, monkeypatch, spread):
     assert hot
 
 
+def table_of(spark, x):
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("factor", [10, 100])
+def test_one_large_norm_leaves_the_others_found(spark, factor):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 64))[rng.integers(0, 60, 3000)] + 0.5 * rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[3] *= factor
+    got, want = found(N.search(table_of(spark, x))), exact(np.arange(3000), x, 20, 20)
+    assert recall(got, want) >= 0.95
+    assert all(len(got[q]) == 20 for q in want)
+
+
+@pytest.mark.parametrize("few", [1000, 0])
+def test_small_tables_give_all_candidates(spark, monkeypatch, few):
+    monkeypatch.setattr(N, "FEW", few)
+    x = np.random.default_rng(2).normal(size=(10, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = found(N.search(table_of(spark, x), every=5))
+    assert {q: sorted(i for i, _ in w) for q, w in got.items()} == {q: sorted({*range(10)} - {q}) for q in (0, 5)}
+
+
 def test_edges(spark):
     bad = [(0, None), (20, []), (40, [0.0, 0.0]), (60, [1.0, None]), (80, [float("nan"), 1.0]), (100, [float("inf"), 1.0]), (None, [1.0, 1.0]), (120, [1.0, 2.0]), (140, [1.0, 2.0, 3.0]), (1, [3.0, 4.0]), (1, [3.0, 4.0])]
     got = found(N.search(spark.createDataFrame(bad, "vec_id long, embedding array<float>")))
