@@ -5,13 +5,18 @@ units and names (capitalised words within a sentence) replaced by a typed slot.
 Windows of WINDOW template words are joined by hash. A document holds an item if the
 windows that meet cover a sufficient part of the item and the slots' values agree:
 one value of the item stands for one value of the document throughout, and the other
-way round, so an item asked with other numbers or names is caught as well.
+way round, so an item asked with other numbers or names is caught as well. Windows of
+fewer than LITERALS words that are no slots would meet by their slots alone: these, and
+items of one window, are joined by their words as they stand, so that a copy is found
+whatever its words are. The share is the larger of that of all the item's windows and
+that of those joined by template.
 
 Benchmark items are a stated query set: they are sent to all documents in blocks of
 BLOCK_CHARS characters, one pass each.
 
 Defined cases: null texts are empty and hold nothing; an item of fewer words than a
-window is one window; an item without a word matches nothing; null ids stay null;
+window is one window, found in documents of any length; an item without a letter or
+digit matches nothing; null ids stay null;
 repeated documents are each answered, repeated items too; further columns are ignored
 (leaks) or kept as they were (without_leaks).
 """
@@ -36,6 +41,7 @@ _NUMBER = re.compile(r"[+-]?[0-9]+(?:[.,:/][0-9]+)*")
 _PART = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^0-9]+")
 _SLOT = {"number": 1, "unit": 2, "name": 3}
 _P = 0xD6E8FEB86659FD93
+_P_INVERSE = pow(_P, -1, 1 << 64)
 
 
 class Canon:
@@ -76,9 +82,9 @@ class Canon:
 
 
 class Templates:
-    """Of a batch of texts: the words, per word its template hash, slot and value, and per window start its hash."""
+    """Of a batch of texts: the words, per word its slot and value, and the hashes of windows."""
 
-    def __init__(self, texts: pa.Array, canon: Canon, window: int = WINDOW):
+    def __init__(self, texts: pa.Array, canon: Canon):
         self.words = w = Words(*utf8(texts), lower=False)
         rows = canon.look(w)
         self.value, self.slot, flags = rows[:, 0], rows[:, 1].astype(np.int64), rows[:, 2].astype(np.int64)
@@ -94,17 +100,15 @@ class Templates:
         h = np.where(self.slot > 0, mix(self.slot.astype(np.uint64)), self.value)
         n = len(h)
         self.row = w.row
-        left = w.first[1:][self.row] - np.arange(n)  # words from here to the text's end
-        size = np.minimum(np.diff(w.first)[self.row], window) if n else np.zeros(0, np.int64)
-        total, literal = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-        p = powers(window, _P)
-        for j in range(window):
-            at = np.flatnonzero((j < size) & (j < left))
-            total[at] += h[at + j] * p[j]
-            literal[at] += self.slot[at + j] == 0
-        self.size, self.literal = size, literal
-        self.at = np.flatnonzero(left >= size) if n else np.zeros(0, np.int64)
-        self.hash = mix(total[self.at] + size[self.at].astype(np.uint64) * U64(_P))
+        self.left = w.first[1:][self.row] - np.arange(n)  # words from here to the text's end
+        self.n_words = np.diff(w.first)
+        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * powers(n, _P), dtype=np.uint64)]) for x in (h, self.value)]
+
+    def windows(self, size: int, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows of so many words start, and their hashes: of the template, or of the plain words."""
+        at, sums = np.flatnonzero(self.left >= size), self.sums[plain]
+        total = (sums[at + size] - sums[at]) * powers(len(self.left), _P_INVERSE)[at]
+        return at, mix(total + U64(size * _P % (1 << 64)))
 
 
 class Block:
@@ -112,25 +116,50 @@ class Block:
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW, literals: int = LITERALS):
         self.ids = [i for i, _ in items]
-        self.t = t = Templates(pa.array([x for _, x in items], pa.string()), Canon(), window)
-        use = t.literal[t.at] >= np.minimum(literals, t.size[t.at])
-        order = np.argsort(t.hash[use], kind="stable")
-        self.hash, self.at = t.hash[use][order], t.at[use][order]
-        self.windows = np.bincount(t.row[self.at], minlength=len(items))
+        self.t = t = Templates(pa.array([x for _, x in items], pa.string()), Canon())
+        self.size = np.minimum(t.n_words, window)
+        worded = np.array([bool(re.search(r"[^\W_]", x or "")) for _, x in items], bool)
+        fixed = np.concatenate([[0], np.cumsum(t.slot == 0)])
+        self.rich, self.n_all = np.zeros(len(t.row), bool), np.zeros(len(items), np.int64)
+        self.index: list[tuple[int, bool, np.ndarray, np.ndarray, np.ndarray]] = []  # size, plain, hashes, places, which low bits occur
+        for size in np.unique(self.size[worded]).tolist():
+            for plain in (False, True):
+                at, h = t.windows(size, plain)
+                mine = worded[t.row[at]] & (self.size[t.row[at]] == size)
+                at, h = at[mine], h[mine]
+                enough = fixed[at + size] - fixed[at] >= min(literals, size)
+                if not plain:
+                    self.rich[at[enough]] = True
+                    self.n_all += np.bincount(t.row[at], minlength=len(items))
+                use = ~enough | (t.n_words[t.row[at]] <= window) if plain else enough
+                order = np.argsort(h[use], kind="stable")
+                low = np.zeros(1 << 20, bool)
+                low[h[use] & U64(len(low) - 1)] = True
+                if use.any():
+                    self.index.append((size, plain, h[use][order], at[use][order], low))
+        self.n_rich = np.bincount(t.row[self.rich], minlength=len(items))
+
+    def met(self, d: Templates) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows of documents and of items start that meet."""
+        mine, theirs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size, plain, known, places, low in self.index:
+            at, h = d.windows(size, plain)
+            may = low[h & U64(len(low) - 1)]
+            at, h = at[may], h[may]
+            lo, hi = np.searchsorted(known, h), np.searchsorted(known, h, "right")
+            each = np.repeat(np.arange(len(h)), hi - lo)
+            mine.append(at[each])
+            theirs.append(places[np.arange(len(each)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[each]])
+        return np.concatenate(mine), np.concatenate(theirs)
 
     def matches(self, texts: pa.Array, canon: Canon, share: float) -> list[tuple[int, int, int, float, bool]]:
         """(text, item, distinct windows of the item, their share, every slot has the item's value)."""
-        if not len(self.hash):
+        if not self.index:
             return []
         d, t = Templates(texts, canon), self.t
-        lo = np.searchsorted(self.hash, d.hash)
-        hit = np.flatnonzero(self.hash[np.minimum(lo, len(self.hash) - 1)] == d.hash)
-        if not len(hit):
+        mine, theirs = self.met(d)
+        if not len(mine):
             return []
-        lo, hi = lo[hit], np.searchsorted(self.hash, d.hash[hit], "right")
-        each = np.repeat(np.arange(len(hit)), hi - lo)
-        place = np.arange(len(each)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[each]
-        mine, theirs = d.at[hit[each]], self.at[place]
         text, item = d.row[mine], t.row[theirs]
         order = np.lexsort((theirs, item, text))
         text, item, mine, theirs = text[order], item[order], mine[order], theirs[order]
@@ -141,17 +170,20 @@ class Block:
             for x, y in zip(mine[a:b].tolist(), theirs[a:b].tolist(), strict=True):
                 if y in there:
                     continue
-                pairs = [(int(t.value[y + j]), int(d.value[x + j])) for j in range(t.size[y]) if t.slot[y + j]]
+                pairs = [(int(t.value[y + j]), int(d.value[x + j])) for j in range(self.size[t.row[y]]) if t.slot[y + j]]
                 if all(forth.get(p, q) == q and back.get(q, p) == p for p, q in pairs):
                     forth.update(pairs)
                     back.update((q, p) for p, q in pairs)
                     there.add(y)
                     same &= all(p == q for p, q in pairs)
-            part = len(there) / max(1, self.windows[item[a]])
+            part = self.share(int(item[a]), there)
             if there and part >= share:
                 out.append((int(text[a]), int(item[a]), len(there), part, same))
         return out
 
+    def share(self, item: int, there: set[int]) -> float:
+        return max(len(there) / int(self.n_all[item]), sum(self.rich[y] for y in there) / max(1, int(self.n_rich[item])))
+
 
 def blocks(items: DataFrame, limit: int = BLOCK_CHARS) -> list[list[tuple]]:
     """item_id, text of the items with a text, in parts of about so many characters; each is fetched when its turn comes."""

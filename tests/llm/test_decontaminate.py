@@ -36,6 +36,17 @@ def test_slots(spark, docs_of):
     assert 5 not in got
 
 
+COPIES = ["Who wrote Pride and Prejudice?", "Capital of France?", "Solve 3x = 12", "Name The First King Of The United Kingdom Of Great Britain And Ireland", "12 13 14 15 16 17 18 19 20 21 22", "Paris was built by people of many trades"]
+
+
+@pytest.mark.parametrize("around", ["{}", "And now {} to say a few more words about it all."])
+def test_copies_of_few_literals_are_found(spark, docs_of, around):
+    docs = [(i, around.format(x)) for i, x in enumerate(COPIES)]
+    got = {(r.doc_id, r.item_id): r for r in D.leaks(docs_of([*docs, (99, "Nothing of this kind stands here, 4x = 13")]), items(spark, list(enumerate(COPIES)))).collect()}
+    assert got.keys() == {(i, i) for i in range(len(COPIES))}
+    assert all(r.exact and r.share == 1 for r in got.values())
+
+
 @pytest.mark.parametrize("limit", [8_000_000, 60])
 def test_edges_and_blocks(spark, docs_of, monkeypatch, limit):
     monkeypatch.setattr(D, "BLOCK_CHARS", limit)
