@@ -5,7 +5,10 @@ units and names (capitalised words within a sentence) replaced by a typed slot.
 Windows of WINDOW template words are joined by hash. A document holds an item if the
 windows that meet cover a sufficient part of the item and the slots' values agree:
 one value of the item stands for one value of the document throughout, and the other
-way round, so an item asked with other numbers or names is caught as well. Windows of
+way round, so an item asked with other numbers or names is caught as well. Values are
+bound anew for each occurrence, that is windows as far apart in the document as in the
+item, and what else stands within an item's length and agrees; for the values as they
+stand in the item; and for the document as a whole. The best of these counts. Windows of
 fewer than LITERALS words that are no slots would meet by their slots alone: these, and
 items of one window, are joined by their words as they stand, so that a copy is found
 whatever its words are. The share is the larger of that of all the item's windows and
@@ -23,7 +26,9 @@ repeated documents are each answered, repeated items too; further columns are ig
 
 from __future__ import annotations
 
+import itertools
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -166,20 +171,50 @@ class Block:
         cut = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])]))
         out = []
         for a, b in zip(cut, [*cut[1:], len(text)], strict=True):
+            part, there, same = self.best(d, int(item[a]), mine[a:b], theirs[a:b])
+            if there and part >= share:
+                out.append((int(text[a]), int(item[a]), there, part, same))
+        return out
+
+    def best(self, d: Templates, item: int, mine: np.ndarray, theirs: np.ndarray) -> tuple[float, int, bool]:
+        """Share, number of windows and whether all values are the item's, of the best binding of values; of one item's meetings with a text, by windows of the item."""
+        t, size = self.t, int(self.size[item])
+        slots: dict[int, list[int]] = {y: [j for j in range(size) if t.slot[y + j]] for y in set(theirs.tolist())}
+        at = []  # place in the document, window of the item, pairs of values
+        for x, y in zip(mine.tolist(), theirs.tolist(), strict=True):
+            pairs = {(int(t.value[y + j]), int(d.value[x + j])) for j in slots[y]}
+            if len({p for p, _ in pairs}) == len({q for _, q in pairs}) == len(pairs):
+                at.append((x, y, pairs))
+
+        def bound(meetings) -> tuple[float, int, bool]:
             there, forth, back, same = set(), {}, {}, True
-            for x, y in zip(mine[a:b].tolist(), theirs[a:b].tolist(), strict=True):
-                if y in there:
-                    continue
-                pairs = [(int(t.value[y + j]), int(d.value[x + j])) for j in range(self.size[t.row[y]]) if t.slot[y + j]]
-                if all(forth.get(p, q) == q and back.get(q, p) == p for p, q in pairs):
+            for _, y, pairs in meetings:
+                if y not in there and all(forth.get(p, q) == q and back.get(q, p) == p for p, q in pairs):
                     forth.update(pairs)
                     back.update((q, p) for p, q in pairs)
                     there.add(y)
                     same &= all(p == q for p, q in pairs)
-            part = self.share(int(item[a]), there)
-            if there and part >= share:
-                out.append((int(text[a]), int(item[a]), len(there), part, same))
-        return out
+            return (self.share(item, there), len(there), same) if there else (0.0, 0, False)
+
+        def better(old, new):
+            return max(old, new, key=lambda x: (x[0], x[2], x[1]))
+
+        exact = [m for m in at if all(p == q for p, q in m[2])]
+        best = better(bound(at), bound(exact))
+        if best[0] == 1 and best[2]:
+            return best
+        best = better(best, bound([*exact, *at]))
+        at.sort(key=lambda m: m[:2])
+        places, runs = [m[0] for m in at], {}
+        for m in at:
+            runs.setdefault(m[0] - m[1], []).append(m)
+        reach = int(t.n_words[item]) + size
+        for run in runs.values():
+            near = at[bisect_left(places, run[0][0] - reach) : bisect_right(places, run[-1][0] + reach)]
+            best = better(best, bound(itertools.chain(run, near)))
+            if best[0] == 1:
+                break
+        return best
 
     def share(self, item: int, there: set[int]) -> float:
         return max(len(there) / int(self.n_all[item]), sum(self.rich[y] for y in there) / max(1, int(self.n_rich[item])))

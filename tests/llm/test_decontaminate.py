@@ -47,6 +47,17 @@ def test_copies_of_few_literals_are_found(spark, docs_of, around):
     assert all(r.exact and r.share == 1 for r in got.values())
 
 
+def test_a_sibling_before_a_copy_does_not_bind_its_values(spark, docs_of):
+    item = "Tom has 5 apples and buys 3 more apples today. How many now?"
+    other = item.replace("5", "7").replace("3", "2").replace("Tom", "Ann")
+    sibling = "Tom has 9 apples and buys 4 more pears. "
+    docs = [(1, sibling + item), (2, sibling + other), (3, item + " " + sibling), (4, sibling * 40 + other + " " + sibling)]
+    got = {r.doc_id: r for r in D.leaks(docs_of(docs), items(spark, [(7, item)])).collect()}
+    assert got.keys() == {1, 2, 3, 4}
+    assert all(got[i].exact and got[i].share == 1 for i in (1, 3))
+    assert all(got[i].share >= 0.8 and not got[i].exact for i in (2, 4))
+
+
 @pytest.mark.parametrize("limit", [8_000_000, 60])
 def test_edges_and_blocks(spark, docs_of, monkeypatch, limit):
     monkeypatch.setattr(D, "BLOCK_CHARS", limit)
