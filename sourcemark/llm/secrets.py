@@ -4,8 +4,11 @@ The field tags each word as the begin of a secret, inside one or outside. Featur
 the word's shape, length, mix of characters and key words, those of the words before
 and after, and how much of its file looks like settings. It is fitted here on
 stretches of words around the patterns' matches and on others, at most SAMPLE of each,
-taken by the order of a hash. Lines are decoded by Viterbi's algorithm, all of a batch
-together; of a line of more than LINE words, each LINE words are a sequence.
+taken by the order of a hash. A line is one sequence; all lines of a batch are decoded
+together by Viterbi's algorithm, those of more than LINE words in blocks of LINE, each
+worked out for every tag before it. A run of more than LONG bytes without a space (a
+settings file without white space, a query string) is parted behind its marks, and each
+part is a word.
 
 Defined cases: a null text is empty and has no spans; a null id stays null; repeated
 rows get equal answers; further columns are ignored. Without any match to learn from
@@ -24,21 +27,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import Words, WordTable, batch_of, chunks, code_points, col, mix, utf8
+from .common import Words, WordTable, batch_of, chunks, code_points, col, mix, prefix_hash, span_hash, utf8
 
 KINDS = ("assign", "access", "hex", "crf")
 CRF = 3
 OUT, BEGIN, IN = range(3)
-SAMPLE, AROUND, LINE, FEATURES = 700, 12, 256, 1 << 12
+SAMPLE, AROUND, LINE, LONG, FEATURES = 700, 12, 256, 200, 1 << 12
 #: Fixed patterns.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _NAMED = re.compile("passw|secret|token|api_?key|auth|credential|private", re.IGNORECASE)
+#: Marks behind which long runs are parted.
+_MARKS = np.isin(np.arange(256), list(b",;&?|:={}[]()<>"))
 _HEXES = np.isin(np.arange(256), list(b"0123456789abcdef"))
 
 
+class Pieces(Words):
+    """Words as they are written, those of more than LONG bytes parted behind their marks."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray):
+        super().__init__(data, offs, lower=False)
+        parts, kept = [], np.ones(len(self.start), bool)
+        for i in np.flatnonzero(self.end - self.start > LONG).tolist():
+            a, b = int(self.start[i]), int(self.end[i])
+            cut = np.flatnonzero(_MARKS[data[a : b - 1]]) + 1
+            if len(cut):
+                kept[i] = False
+                start, end = np.concatenate([[0], cut]), np.concatenate([cut, [b - a]])
+                parts.append((start + a, end + a, span_hash(prefix_hash(data[a:b]), start, end)))
+        if parts:
+            start, self.end, self.hash = (np.concatenate([old[kept], *new]) for old, new in zip((self.start, self.end, self.hash), zip(*parts, strict=True), strict=True))
+            order = np.argsort(start, kind="stable")
+            self.start, self.end, self.hash = start[order], self.end[order], self.hash[order]
+            self.first = np.searchsorted(self.start, offs)
+
+
 def base_spans(text: str, hexes: bool = True) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns, sorted; hexes: whether a long hex run may be there."""
     out, low = [], text.lower()
@@ -109,10 +134,10 @@ class Field:
         known: dict[tuple, np.ndarray] = {}
         out = []
         for word in words:
-            key = plain(word[:200])
+            key = plain(word)
             row = known.get(key) if key else None
             if row is None:
-                own, near = (list(map(number, f)) for f in features(word[:200]))
+                own, near = (list(map(number, f)) for f in features(word))
                 row = np.concatenate([self.w[0, own].sum(0), self.w[1, near].sum(0), self.w[2, near].sum(0)])
                 if key:
                     known[key] = row
@@ -120,8 +145,8 @@ class Field:
         return np.array(out).reshape(-1, 9)
 
 
-def fit(stretches: list[tuple[list[str], list[int], int]], rounds: int = 30, rate: float = 0.15) -> Field:
-    """Adagrad on the sequences' conditional log-likelihood; a stretch: words, tags, the file's kind."""
+def fit(stretches: list[tuple[list[str | tuple], list[int], int]], rounds: int = 30, rate: float = 0.15) -> Field:
+    """Adagrad on the sequences' conditional log-likelihood; a stretch: words or their features, tags, the file's kind."""
     field = Field()
     if not any(t for _, tags, _ in stretches for t in tags):
         return field
@@ -132,7 +157,7 @@ def fit(stretches: list[tuple[list[str], list[int], int]], rounds: int = 30, rat
     for k, (words, tags, _) in enumerate(stretches):
         live[: len(words), k], gold[: len(words), k] = True, tags
         for t, word in enumerate(words):
-            own, near = features(word[:200])
+            own, near = features(word) if isinstance(word, str) else word
             parts[0] += [(t * n + k, number(f)) for f in own]
             if t + 1 < len(words):
                 parts[1] += [((t + 1) * n + k, number(f)) for f in near]
@@ -189,9 +214,10 @@ def file_kinds(w: Words) -> np.ndarray:
 def decode(e: np.ndarray, begins: np.ndarray, step: np.ndarray) -> np.ndarray:
     """The best tags of sequences that lie one after another; e: scores [word, tag], begins: where each starts."""
     n = len(e)
-    size = np.diff([*begins, n])
+    whole = np.diff([*begins, n])
+    size = (whole - 1) % LINE + 1  # the rest is blocks of LINE words
     order = np.argsort(-size, kind="stable")
-    first, size = begins[order], size[order]
+    first, size, whole = begins[order], size[order], whole[order]
     tags, back = np.zeros(n, np.int8), np.zeros((n, 3), np.int8)
     score = e[first] - np.array([0, 0, 20])
     final = score.copy()
@@ -204,6 +230,9 @@ def decode(e: np.ndarray, begins: np.ndarray, step: np.ndarray) -> np.ndarray:
         score = by.max(1) + e[at]
         final[:k] = score
     tag = final.argmax(1).astype(np.int8)
+    long = np.flatnonzero(whole > size)
+    if len(long):
+        tag[long] = blocks(e, first[long] + size[long], (whole[long] - size[long]) // LINE, final[long], step, tags)
     for t in range(int(size[0]) - 1, -1, -1):
         k = live[t]
         at = first[:k] + t
@@ -213,16 +242,42 @@ def decode(e: np.ndarray, begins: np.ndarray, step: np.ndarray) -> np.ndarray:
     return tags
 
 
+def blocks(e: np.ndarray, first: np.ndarray, count: np.ndarray, score: np.ndarray, step: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Fills in the best tags of sequences of count blocks from first on, given each one's scores of the tag before, and returns that tag."""
+    at = np.concatenate([a + LINE * np.arange(c) for a, c in zip(first, count, strict=True)])
+    best, back = step + e[at][:, None, :], np.zeros((LINE, len(at), 3, 3), np.int8)  # by block, tag before it and last tag
+    for t in range(1, LINE):
+        by = best[:, :, :, None] + step
+        back[t] = by.argmax(2)
+        best = by.max(2) + e[at + t][:, None, :]
+    before, last, begin = np.zeros(len(at), np.int8), np.zeros(len(at), np.int8), 0
+    out = np.zeros(len(first), np.int8)
+    for i, c in enumerate(count.tolist()):
+        now, came = score[i], []
+        for b in range(begin, begin + c):
+            by = now[:, None] + best[b]
+            came.append(by.argmax(0))
+            now = by.max(0)
+        tag = int(now.argmax())
+        for b in range(begin + c - 1, begin - 1, -1):
+            last[b], tag = tag, int(came[b - begin][tag])
+            before[b] = tag
+        out[i], begin = tag, begin + c
+    for t in range(LINE - 1, -1, -1):
+        tags[at + t] = last
+        if t:
+            last = back[t, np.arange(len(at)), before, last]
+    return out
+
+
 def lines(w: Words) -> np.ndarray:
-    """Where sequences begin: at texts, after line ends, and after each LINE words."""
+    """Where sequences begin: at texts and after line ends."""
     breaks = np.concatenate([[0], np.cumsum(w.data == 10)])
     new = np.ones(len(w.start), bool)
     new[1:] = breaks[w.start[1:]] > breaks[w.end[:-1]]
     firsts = w.first[:-1]
     new[firsts[firsts < len(new)]] = True
-    begin = np.flatnonzero(new)
-    within = np.arange(len(new)) - np.repeat(begin, np.diff([*begin, len(new)]))
-    return np.flatnonzero(within % LINE == 0)
+    return np.flatnonzero(new)
 
 
 def tagged(w: Words, field: Field, cache: WordTable) -> np.ndarray:
@@ -247,7 +302,7 @@ def _found(batches, field: Field):
         hexes = hex_rows(data, offs)
         base = [base_spans(t, h) if t else [] for t, h in zip(texts, hexes.tolist(), strict=True)]
         more: list[list] = [[] for _ in texts]
-        w = Words(data, offs, lower=False)
+        w = Pieces(data, offs)
         if field.learnt and len(w.hash):
             tags = tagged(w, field, cache)
             begin = np.flatnonzero((tags == BEGIN) | ((tags == IN) & np.concatenate([[True], tags[:-1] == OUT])))
@@ -264,14 +319,14 @@ def _found(batches, field: Field):
 
 
 def stretches(docs: DataFrame) -> DataFrame:
-    """Training stretches: words, tags, file, hit (whether a pattern matches in it) and h, a hash to choose by; docs: text."""
+    """Training stretches: words (of long ones the features instead), tags, file, hit (whether a pattern matches in it) and h, a hash to choose by; docs: text."""
 
     def run(batches):
         for batch in chunks(batches):
             data, offs = utf8(batch.column("text"))
-            w, hexes = Words(data, offs, lower=False), hex_rows(data, offs)
+            w, hexes = Pieces(data, offs), hex_rows(data, offs)
             kinds, points, first = file_kinds(w), code_points(data), w.first
-            out: dict[str, list] = {"words": [], "tags": [], "file": [], "hit": [], "h": []}
+            out: dict[str, list] = {"words": [], "features": [], "tags": [], "file": [], "hit": [], "h": []}
             for i, text in enumerate(batch.column("text").to_pylist()):
                 if not text or first[i] == first[i + 1]:
                     continue
@@ -287,14 +342,16 @@ def stretches(docs: DataFrame) -> DataFrame:
                 places = [(int(np.searchsorted(f, x, "right")), True) for x, _, _ in found[:4]] + [(seed % (b - a), False)]
                 for p, hit in places:
                     lo, hi = max(0, p - AROUND), min(b - a, p + AROUND)
-                    out["words"].append([w.text(a + k)[:200] for k in range(lo, hi)])
+                    words = [w.text(a + k) for k in range(lo, hi)]
+                    out["words"].append([x if len(x) <= LONG else "" for x in words])
+                    out["features"].append([None if len(x) <= LONG else list(features(x)) for x in words])
                     out["tags"].append(tag[lo:hi].tolist())
                     out["file"].append(int(kinds[i]))
                     out["hit"].append(hit)
                     out["h"].append((seed + p) % (1 << 62))
-            yield batch_of(words=pa.array(out["words"], pa.list_(pa.string())), tags=pa.array(out["tags"], pa.list_(pa.int32())), file=pa.array(out["file"], pa.int32()), hit=pa.array(out["hit"], pa.bool_()), h=pa.array(out["h"], pa.int64()))
+            yield batch_of(words=pa.array(out["words"], pa.list_(pa.string())), features=pa.array(out["features"], pa.list_(pa.list_(pa.list_(pa.string())))), tags=pa.array(out["tags"], pa.list_(pa.int32())), file=pa.array(out["file"], pa.int32()), hit=pa.array(out["hit"], pa.bool_()), h=pa.array(out["h"], pa.int64()))
 
-    return docs.mapInArrow(run, "words array<string>, tags array<int>, file int, hit boolean, h long")
+    return docs.mapInArrow(run, "words array<string>, features array<array<array<string>>>, tags array<int>, file int, hit boolean, h long")
 
 
 def trained(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field:
@@ -302,13 +359,14 @@ def trained(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field:
     # two heaps of bounded size, in one pass
     drawn = drawn.withColumn("n", F.row_number().over(_by_hash())).where(F.col("n") <= sample)
     rows = sorted(drawn.collect(), key=lambda r: (r.hit, r.h, r.words))
-    return fit([(list(r.words), list(r.tags), r.file) for r in rows])
+    words = [[w if f is None else tuple(f) for w, f in zip(r.words, r.features, strict=True)] for r in rows]
+    return fit([(w, list(r.tags), r.file) for w, r in zip(words, rows, strict=True)])
 
 
 def _by_hash():
     from pyspark.sql import Window
 
-    return Window.partitionBy("hit").orderBy("h", "words")
+    return Window.partitionBy("hit").orderBy("h", "words", "features")
 
 
 def report(docs: DataFrame, field: Field, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

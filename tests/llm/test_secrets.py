@@ -53,6 +53,17 @@ def test_viterbi_is_best_of_all_paths():
         assert tuple(got[a : a + n]) == best
 
 
+@pytest.mark.parametrize("line", [1, 3, 7])
+def test_long_lines_are_decoded_whole(monkeypatch, line):
+    rng = np.random.default_rng(4)
+    step, e = rng.normal(size=(3, 3)), rng.normal(size=(200, 3)) * 2
+    step[S.OUT, S.IN] = -20
+    begins = np.array([0, 1, 5, 60, 67, 190])
+    want = S.decode(e, begins, step)
+    monkeypatch.setattr(S, "LINE", line)
+    assert S.decode(e, begins, step).tolist() == want.tolist()
+
+
 @pytest.fixture(scope="module")
 def settings_files(docs_of):
     rows = []
@@ -73,6 +84,18 @@ def test_the_field_finds_what_no_pattern_does(docs_of, settings_files):
     assert rows[11].spans == ""
 
 
+def test_secrets_anywhere_in_lines_and_runs(docs_of, settings_files):
+    field = S.trained(docs_of(settings_files))
+    held = "9c3fe1a27b64d0581e2f7a90bb31"
+    odd = [(i, f"{'host = a ' * i}token  {{{held}\n") for i in (84, 85, 86, 170)]  # at, before and behind a block's end
+    run = "".join(f'"host{i}":"web",' for i in range(40))
+    odd.append((1, f'{{{run}"token":{{"{held}"}}}}'))
+    for r in S.report(docs_of(odd), field).collect():
+        text = dict(odd)[r.doc_id]
+        spans = [x.split(":") for x in r.spans.split(",") if x.startswith("crf")]
+        assert any(held in text[int(a) : int(b)] and int(b) - int(a) <= 40 for _, a, b in spans), (r.doc_id, r.spans)
+
+
 def test_edges(docs_of):
     field = S.trained(docs_of(MESS))
     assert not field.learnt
