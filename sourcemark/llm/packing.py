@@ -8,35 +8,39 @@ would leave more tightly than that piece does, they take its place.
 Pieces are dealt by row number to groups of about GROUP pieces, each packed on its
 own, so that no task holds more, at the price of at most one loose bin a group.
 
-Defined cases: a null text is empty and has the one id END; a null id stays null;
-repeated rows are documents of their own; further columns are ignored; an empty
-table gives no rows.
+Defined cases: a null text is empty and has the one id END; a special token's string in
+a text is that token, as the vocabulary's library has it; a text of any length is encoded
+whole; pieces of equal length are taken in any order; a null id stays null; repeated rows
+are documents of their own; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, chunks, col, saved
+from .common import batch_of, chunks, col, saved, utf8
 
 SIZE, END, GROUP = 1024, 2, 20_000
-#: White space: a token that holds other characters ends before it. Characters that are white space in some versions of Unicode only.
-_SPACE = r"\t-\r\x20\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PART = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_UNSURE = re.compile(r"[\x1c-\x1f\x85\u180e]")
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: White space in UTF-8: bytes that are one by themselves, and sequences. Then characters that are white space in some versions of Unicode only.
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BLANKS = [chr(c).encode() for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: Characters that may be letters of one token: ASCII's and Latin-1's. A unit of them with or without a space before it is one token.
+_ASCII = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_UNSURE = [chr(c).encode() for c in (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0x180E)]
 
 
-#: A stretch of up to three tokens that are encoded on their own: a line end, a word of Latin letters with or without a space before it, stops.
-_PLAIN = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]*)")
+_LETTERS = [bytes([0xC3, c]) for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)]
 
 
 def byte_letters() -> list[str]:
@@ -46,73 +50,132 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(rest)) for b in range(256)]
 
 
-class Encoder:
-    """Ids as little-endian bytes. Texts are encoded by stretches that end before white space, each distinct one once."""
+def places(data: np.ndarray, sequences: list[bytes]) -> np.ndarray:
+    """Where any of the sequences (up to three bytes, as many for each first byte) begins."""
+    out = []
+    for lead in {s[0] for s in sequences}:
+        at = np.flatnonzero(data == lead)
+        size = max(len(s) for s in sequences if s[0] == lead)
+        at = at[at + size <= len(data)]
+        second = np.isin(np.arange(256), [s[1] for s in sequences if s[0] == lead and size > 1])
+        at = at[second[data[at + 1]]] if size > 1 else at
+        if size > 2:
+            ok = np.zeros(len(at), bool)
+            for s in (s for s in sequences if s[0] == lead):
+                ok |= (data[at + 1] == s[1]) & (data[at + 2] == s[2])
+            at = at[ok]
+        out.append(at)
+    return np.concatenate(out)
+
+
+def stretches(data: np.ndarray, offs: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """Where stretches that can be encoded on their own begin in texts that lie one after another, with the end.
+
+    They begin at texts, at white space behind other characters, as a token that holds
+    other characters ends before white space, between letters and stops, at letters behind
+    a single line end, and at both ends of a special token. Texts with a character that is
+    white space in some versions only are parted at special tokens alone.
+    """
+    blank = _BLANK[data]
+    for size in (2, 3):
+        at = places(data, [s for s in _BLANKS if len(s) == size])
+        for k in range(size):
+            blank[at + k] = True
+    begin = np.zeros(len(data) + 1, bool)
+    begin[1:-1] = blank[1:] & ~blank[:-1]
+    begin[offs] = True
+    opens, closes = _ASCII[data], _ASCII[data]  # letters' first and last bytes
+    at = places(data, _LETTERS)
+    opens[at], closes[at + 1] = True, True
+    stop = (data == 46) | (data == 44)
+    begin[1:-1] |= (closes[:-1] & stop[1:]) | (stop[:-1] & opens[1:]) | ((data[:-1] == 10) & begin[:-2] & opens[1:])
+    unsure = np.unique(np.searchsorted(offs, places(data, _UNSURE), "right") - 1)
+    for i in unsure.tolist():
+        begin[offs[i] : offs[i + 1]] = False
+    begin[offs] = True
+    raw = data.tobytes() if special else b""
+    for s in special:
+        at = raw.find(s)
+        while at >= 0:
+            i = int(np.searchsorted(offs, at, "right"))
+            if at + len(s) <= offs[i]:  # in one text
+                begin[[at, at + len(s)]] = True
+            at = raw.find(s, at + 1)
+    return np.flatnonzero(begin)
+
+
+@functools.lru_cache(1)
+def tokenizer(file: str):
+    """The vocabulary, read once a process; what it has encoded is kept by a task's encoder only."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(file)
 
-    def __init__(self, tokenizer_file: str, limit: int = 400_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        self.model, self.limit = Tokenizer.from_file(tokenizer_file), limit
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
-        self.model.encode_special_tokens = True
-        self.bpe, self.letters = self.model.model, byte_letters()
+class Encoder:
+    """Ids of texts, by stretches, each distinct one encoded once; at most `limit` are kept."""
 
-    def word(self, word: str) -> bytes:
-        """A token's ids by the vocabulary's merges alone."""
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.words[word] = array("I", [x.id for x in self.bpe.tokenize("".join([self.letters[b] for b in word.encode()]))]).tobytes()
-        return ids
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        parts = [[t] if _UNSURE.search(t) else _PART.findall(t) for t in texts]
-        if len(self.known) > self.limit:
-            self.known = {}
-        if len(self.words) > self.limit:
-            self.words = {"": b""}
-        others, word = [], self.word
-        for p in {p for ps in parts for p in ps} - self.known.keys():
-            if m := _PLAIN.fullmatch(p):
-                self.known[p] = word(m[1]) + word(m[2]) + word(m[3])
-            else:
-                others.append(p)
+    def __init__(self, tokenizer_file: str, limit: int = 300_000):
+        self.model, self.limit = tokenizer(tokenizer_file), limit
+        self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
+        self.bpe, self.letters = self.model.model, byte_letters()
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def slots(self, distinct: list[str]) -> np.ndarray:
+        """For each text its place in self.first."""
+        if len(self.at) > self.limit:
+            self.forget()
+        words, others = [], []
+        for s in itertools.filterfalse(self.at.__contains__, distinct):
+            (words if _PLAIN.fullmatch(s) else others).append(s)
+        tokens = [self.bpe.tokenize("".join([self.letters[b] for b in s.encode()])) for s in words]
+        ids = [[x.id for x in t] for t in tokens]
         for i in range(0, len(others), 10_000):
-            some = others[i : i + 10_000]
-            self.known.update(zip(some, (array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        return [b"".join(map(self.known.__getitem__, ps)) for ps in parts]
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(tokenizer_file: str) -> Encoder:
-    """This process's encoder, kept from task to task."""
-    if tokenizer_file not in _encoders:
-        _encoders[tokenizer_file] = Encoder(tokenizer_file)
-    return _encoders[tokenizer_file]
+            ids += [e.ids for e in self.model.encode_batch_fast(others[i : i + 10_000], add_special_tokens=False)]
+        if ids:
+            self.at.update(zip(words + others, itertools.count(len(self.at))))
+            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids])])
+        return np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))
+
+    def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each closed by `end`, and where texts begin in them, with the end."""
+        data, offs = utf8(texts)
+        cut = stretches(data, offs, self.special) if len(data) else np.zeros(1, np.int64)
+        coded = pa.LargeStringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        slot = self.slots(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        size = self.first[slot + 1] - self.first[slot]
+        before = np.concatenate([[0], np.cumsum(size)])
+        begin = before[np.searchsorted(cut, offs)] + np.arange(len(offs))
+        out = np.full(int(begin[-1]), end, np.uint32)
+        text = np.searchsorted(offs, cut[:-1], "right") - 1  # each stretch's text
+        to = np.arange(before[-1]) + np.repeat(text, size)
+        out[to] = self.flat[np.arange(before[-1]) + np.repeat(self.first[slot] - before[:-1], size)]
+        return out, begin
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, size: int = SIZE, end: int = END) -> DataFrame:
     """Every document's pieces; docs: doc_id, text."""
-    close = array("I", [end]).tobytes()
 
     def run(batches):
-        own = encoder(tokenizer_file)
+        own = Encoder(tokenizer_file)
         for batch in chunks(batches):
-            owner, number, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(own.ids([t or "" for t in batch.column("text").to_pylist()])):
-                ids += close
-                n = len(ids) // 4
-                cuts = [0, *range(n - size * ((n - 1) // size), n + 1, size)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    owner.append(i)
-                    number.append(k)
-                    start.append(a)
-                    length.append(b - a)
-                    crc.append(zlib.crc32(ids[4 * a : 4 * b]))
-            yield batch_of(doc_id=batch.column("doc_id").take(pa.array(owner, pa.int32())), piece=pa.array(number, pa.int32()), start=pa.array(start, pa.int64()), length=pa.array(length, pa.int64()), ids_crc32=pa.array(crc, pa.int64()))
+            ids, begin = own.ids(batch.column("text"), end)
+            n = np.diff(begin)
+            count = -(-n // size)
+            owner = np.repeat(np.arange(len(n)), count)
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            spare = n - size * (count - 1)  # the first piece's length
+            start = np.where(number > 0, spare[owner] + size * (number - 1), 0)
+            length = np.where(number > 0, size, spare[owner])
+            raw, at = memoryview(ids.astype("<u4").tobytes()), begin[:-1][owner] + start
+            crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), length.tolist(), strict=True)]
+            yield batch_of(doc_id=batch.column("doc_id").take(pa.array(owner)), piece=pa.array(number, pa.int32()), start=pa.array(start, pa.int64()), length=pa.array(length, pa.int64()), ids_crc32=pa.array(crc, pa.int64()))
 
     return docs.mapInArrow(run, PIECE_SCHEMA)
 

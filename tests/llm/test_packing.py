@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -16,7 +17,6 @@ from .conftest import MESS
 
 def plain(texts):
     t = Tokenizer.from_file(BYTE_BPE)
-    t.encode_special_tokens = True
     return [np.array([*e.ids, P.END], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -46,10 +46,21 @@ def hold(rows, pairs):
 
 def test_ids_are_the_tokenizer_s():
     draw = random.Random(3)
-    odd = "ab1'.!?\t\n   　 éé日᠎\x1c\x85-"
-    texts = ["it's don't I'll we've é's", "<|endoftext|> x", "\n\n x\n y", ". ,", "a.,b", *("".join(draw.choice(odd) for _ in range(draw.randint(1, 40))) for _ in range(500))]
-    got = P.Encoder(BYTE_BPE).ids(texts)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [x[:-1].tolist() for x in plain(texts)]
+    odd = "abé1'.,!?\t\n   　 éé日᠎\x1c\x85-"
+    odd = [*odd, "<|endoftext|>", "<|endof", " the", "'s"]
+    texts = ["", "it's don't I'll we've é's", "<|endoftext|> x", "hello <|endoftext|> world", "x <|endoftext|>  y<|endoftext|><|endoftext|>", "<|endof", "text|>", "\n\n x\n y", ". ,", "a.,b", "über.Öl,×a÷b. Ω.x"]
+    texts += ["".join(draw.choice(odd) for _ in range(draw.randint(1, 40))) for _ in range(2000)]
+    for limit in (300_000, 10):
+        own = P.Encoder(BYTE_BPE, limit)
+        for at in range(0, len(texts), 500):
+            ids, begin = own.ids(pa.array(texts[at : at + 500]), P.END)
+            assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:], strict=False)] == [x.tolist() for x in plain(texts[at : at + 500])]
+
+
+def test_a_very_long_text():
+    text = "A word, then the next.\n" * 120_000 + "<|endoftext|>" + "x" * 5000
+    ids, begin = P.Encoder(BYTE_BPE).ids(pa.array([None, text, "a"]), P.END)
+    assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:], strict=False)] == [x.tolist() for x in plain(["", text, "a"])]
 
 
 def test_best_two_fit():
