@@ -76,12 +76,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int, base: int = _BASE) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    if base not in _powers or len(_powers[base]) < n:
-        x = np.full(max(n, 1 << 16), base, np.uint64)
-        x[0] = 1
-        _powers[base] = np.cumprod(x, dtype=np.uint64)
-    return _powers[base][:n]
+    """base**0 .. base**(n-1) modulo 2**64; those for a chunk are kept, longer ones made anew."""
+    kept = _powers.get(base, ())
+    if len(kept) >= n:
+        return kept[:n]
+    x = np.full(max(n, 1 << 16), base, np.uint64)
+    x[0] = 1
+    x = np.cumprod(x, dtype=np.uint64)
+    if len(x) <= CHUNK_BYTES + 1:
+        _powers[base] = x
+    return x[:n]
 
 
 def prefix_hash(data: np.ndarray, lut: np.ndarray = _BYTE) -> np.ndarray:

@@ -14,8 +14,9 @@ distinct regions is split by where in the window it stands, again and again, int
 filed under the bytes that all windows of a half share: so no shard depends on how often
 a passage occurs, and none is left out.
 
-Defined cases: a null text is empty; texts shorter than `length` lose nothing; a null id
-stays null; repeated rows are documents of their own (each repeats the other); further
+Defined cases: a null text is empty; texts shorter than `length` lose nothing; long ones
+are looked at by segments, every window of them; which of equal strings comes first
+doesn't matter, all of them go; a null id stays null; repeated rows are documents of their own (each repeats the other); further
 columns are ignored; an empty table gives no rows. Regions are told apart by 128 bits.
 """
 
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import _INVERSE, U64, batch_of, chunks, col, mix, powers, prefix_hash, saved, span_hash, utf8, whole_runs
 
 LENGTH = 400
-#: Bytes of a seed; distinct regions of one seed that a shard takes; bytes of a shard.
-SEED, MOST, SHARD = 32, 1000, 4 << 20
+#: Bytes of a seed; distinct regions of one seed that a shard takes; bytes of a shard; shards of a task, if there are more of them than partitions.
+SEED, MOST, SHARD, EACH = 32, 1000, 1 << 20, 16
+#: Starts of windows that are looked at together.
+SEGMENT = 1 << 20
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _SECOND = np.random.default_rng(44).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -55,10 +58,18 @@ def least_in_windows(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def regions(data: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """Per run of windows with one least seed: p (the seed's place), lo, hi (first start, end of the last window), h (the seed's hash), r1, r2 (of the bytes and the place)."""
-    if len(data) < length:
-        none = np.zeros(0, np.int64)
-        return dict.fromkeys(("p", "lo", "hi", "h", "r1", "r2"), none)
+    """Per run of windows with one least seed: p (the seed's place), lo, hi (first start, end of the last window), h (the seed's hash), r1, r2 (of the bytes and the place).
+
+    Windows are taken by SEGMENT starts at a time: a text's length doesn't matter.
+    """
+    parts = []
+    for a in range(0, max(0, len(data) - length + 1), SEGMENT):
+        part = _segment(data[a : a + SEGMENT + length - 1], length)
+        parts.append(part | {c: part[c] + a for c in ("p", "lo", "hi")})
+    return {c: np.concatenate([np.zeros(0, np.int64), *(x[c] for x in parts)]) for c in ("p", "lo", "hi", "h", "r1", "r2")}
+
+
+def _segment(data: np.ndarray, length: int) -> dict[str, np.ndarray]:
     s = prefix_hash(data)
     starts = len(data) - SEED + 1
     seeds = mix((s[SEED:] - s[:starts]) * powers(starts, _INVERSE))
@@ -74,13 +85,13 @@ class Induction:
 
     def __init__(self, t: np.ndarray, k: int):
         n = len(t)
-        self.t, self.k, self.count = t, k, np.arange(n)
+        self.t, self.k, self.count = t, k, np.arange(n, dtype=np.int32)
         after = np.where(t[1:] != t[:-1], np.arange(n - 1, dtype=np.int32), np.int32(n - 1))
         after = np.minimum.accumulate(after[::-1])[::-1]
         self.small = np.ones(n, bool)  # smaller than the next suffix
         less = np.append(t[:-1] < t[1:], True)
         self.small[:-1] = less[after]
-        self.lms = np.flatnonzero(self.small[1:] & ~self.small[:-1]) + 1
+        self.lms = (np.flatnonzero(self.small[1:] & ~self.small[:-1]) + 1).astype(np.int32)
         counts = np.bincount(t, minlength=k)
         self.ends = np.cumsum(counts)
         self.starts = self.ends - counts
@@ -175,44 +186,28 @@ class Induction:
         return sa
 
 
-def by_doubling(t: np.ndarray) -> np.ndarray:
-    """The suffix array of a short string: ranks by the first 1, 2, 4, ... numbers."""
-    rank, step, n = t.astype(np.int64), 1, len(t)
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + after
-        sa = key.argsort(kind="stable")
-        key = key[sa]
-        rank[sa] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-        step *= 2
-        if rank[sa[-1]] == n - 1 or step >= n:
-            return sa.astype(np.int32)
-
-
-def suffix_array(t: np.ndarray, k: int, short: int = 0) -> np.ndarray:
-    """Of numbers below k, of which the last is the only 0. Names of at most `short` substrings are sorted by doubling."""
+def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
+    """Of numbers below k, of which the last is the only 0."""
     if len(t) == 1:
         return np.zeros(1, np.int32)
-    if len(t) <= short:
-        return by_doubling(t)
     level = Induction(t, k)
     lms = level.lms
     leftmost = np.zeros(len(t), bool)
     leftmost[lms] = True
-    sa = level.induce(lms.astype(np.int32))
+    sa = level.induce(lms)
     ranked = sa[leftmost[sa]]
     s = np.zeros(len(t) + 1, np.uint64)
     np.cumsum(mix(t.astype(np.uint64) + U64(1)) * powers(len(t)), dtype=np.uint64, out=s[1:])
-    after = np.zeros(len(t), np.int64)
+    after = np.zeros(len(t), np.int32)
     after[lms] = np.append(lms[1:], lms[-1]) + 1
     h = span_hash(s, ranked, after[ranked])
-    names = np.zeros(len(t), np.int64)
+    names = after
     names[ranked] = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
-    named, top = names[lms].astype(np.int32), int(names[ranked[-1]]) + 1
+    named, top = names[lms], int(names[ranked[-1]]) + 1
+    del s, after, names, h
     if top == len(lms):
         return sa if len(lms) == 1 else level.induce(ranked)
-    return level.induce(lms[suffix_array(named, top, short)].astype(np.int32))
+    return level.induce(lms[suffix_array(named, top)])
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +256,7 @@ def repeated(texts: list[bytes], length: int) -> list[np.ndarray]:
     starts = np.cumsum(sizes + 1) - sizes - 1
     t[starts + sizes] = 1
     t[-1] = 0
-    sa = suffix_array(t, 258, len(t) // 8)
+    sa = suffix_array(t, 258)
     prefix, before = common_prefixes(t, sa, length)
     twice = prefix > 0
     twice[before[twice]] = True
@@ -311,7 +306,7 @@ def _by_shards(found: DataFrame, length: int) -> DataFrame:
     """Windows that repeat, as starts a to b relative to the seed; found: key, REGION, every key's in one shard."""
     size = found.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
     shards = max(1, -(-size // SHARD))
-    n = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // 4)
+    n = max(min(shards, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))), shards // EACH)
 
     def run(batches):
         for held, cut in whole_runs(batches, ["shard"]):
@@ -328,7 +323,7 @@ def _by_shards(found: DataFrame, length: int) -> DataFrame:
                 yield batch_of(**{c: some.column(c).combine_chunks().take(at) for c in ("h", "r1", "r2")}, a=pa.array(a, pa.int32()), b=pa.array(b, pa.int32()))
 
     dealt = found.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    return dealt.select("shard", "h", "r1", "r2", "n", "off", "text").repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, VERDICT)
+    return dealt.select("shard", "h", "r1", "r2", "n", "off", "text").repartitionById(n, (F.col("shard") % n).cast("int")).sortWithinPartitions("shard").mapInArrow(run, VERDICT)
 
 
 def _halves(found: DataFrame, length: int) -> DataFrame:

@@ -29,14 +29,13 @@ def got(docs, length):
     return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in X.report(docs, length).collect())
 
 
-@pytest.mark.parametrize("short", [0, 20])
-def test_suffix_arrays_and_prefixes(short):
+def test_suffix_arrays_and_prefixes():
     rng = np.random.default_rng(2)
     for k in range(150):
         n, letters = int(rng.integers(1, 60)), int(rng.integers(2, 6))
         t = rng.integers(1, letters, n)
         t = np.append(np.tile(t[: max(1, n // 5)], 5) if k % 3 == 0 else t, 0).astype(np.int32)
-        sa, text = X.suffix_array(t, letters, short), t.tolist()
+        sa, text = X.suffix_array(t, letters), t.tolist()
         want = sorted(range(len(text)), key=lambda i: text[i:])
         assert sa.tolist() == want
         prefix, _ = X.common_prefixes(t, sa, 1)
@@ -59,10 +58,27 @@ def test_whole_table(documents):
     assert got(documents, 400) == plain(pairs, 400)
 
 
-@pytest.mark.parametrize("most", [1000, 1])
-def test_edges(docs_of, monkeypatch, most):
+def test_recursion_through_many_levels():
+    rng = np.random.default_rng(4)
+    unit = rng.integers(1, 5, 40)
+    t = np.concatenate([np.tile(unit, 400), rng.integers(1, 5, 3000), np.tile(unit, 200), np.ones(500, int), [0]]).astype(np.int32)
+    raw = t.astype(np.uint8).tobytes()
+    assert X.suffix_array(t, 5).tolist() == sorted(range(len(t)), key=lambda i: raw[i:])
+
+
+@pytest.mark.parametrize(("most", "segment"), [(1000, 1 << 20), (1, 1 << 20), (1000, 50)])
+def test_edges(docs_of, monkeypatch, most, segment):
     monkeypatch.setattr(X, "MOST", most)
+    monkeypatch.setattr(X, "SEGMENT", segment)
     same = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(300))
     pairs = [*MESS, (20, same), (21, "é" * 10 + same), (22, same[100:250]), (23, same[:120] + "?" + same[121:]), (24, same + same), (25, "ab" * 200)]
     assert got(docs_of(pairs), 60) == plain(pairs, 60)
     assert got(docs_of([]), 60) == Counter()
+
+
+def test_a_text_longer_than_a_segment_and_a_shard(docs_of):
+    rng = np.random.default_rng(6)
+    long = rng.integers(97, 123, 2_600_000).astype(np.uint8).tobytes().decode()
+    pairs = [(1, long), (2, "x" + long[1_300_000:1_302_000] + "y"), (3, None), (4, long[:399])]
+    rows = {r.doc_id: (r.n_removed, r.n_spans) for r in X.report(docs_of(pairs)).collect()}
+    assert rows == {1: (2000, 1), 2: (2000, 1), 3: (0, 0), 4: (0, 0)}
