@@ -56,6 +56,16 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the files of saved frames that nothing will read again."""
+    for df in frames:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions_for(df: DataFrame, rows_each: int, rows: int) -> int:
     """Enough partitions for so many rows each, the session's number at least."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
