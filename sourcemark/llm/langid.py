@@ -181,8 +181,9 @@ def fit(texts: list[tuple[str, str]], vocab: dict[str, int], rounds: int = 4) ->
 
 
 def sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """At most docs_each labelled texts of each language, by the order of a hash; docs: text, lang."""
-    docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= chars)).withColumn("h", F.xxhash64("text"))
+    """At most docs_each labelled texts of each language, by the order of a hash, of longer ones `chars` characters from a place by that hash; docs: text, lang."""
+    docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("h", F.xxhash64("text"))
+    docs = docs.withColumn("text", F.substring("text", F.pmod("h", F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1, chars))
     counts = docs.groupBy("lang").count()
     few = docs.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 20)) < (1 << 20) * 2.0 * docs_each / F.col("count"))
     first = Window.partitionBy("lang").orderBy("h")

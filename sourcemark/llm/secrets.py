@@ -4,7 +4,9 @@ The field tags each word as the begin of a secret, inside one or outside. Featur
 the word's shape, length, mix of characters and key words, those of the words before
 and after, and how much of its file looks like settings. It is fitted here on
 stretches of words around the patterns' matches and on others, at most SAMPLE of each,
-taken by the order of a hash. A line is one sequence; all lines of a batch are decoded
+taken by the order of a hash. Stretches with a long run of letters and digits that no
+pattern names teach nothing: it may be a secret of another kind, and shouldn't count as
+none. A line is one sequence; all lines of a batch are decoded
 together by Viterbi's algorithm, those of more than LINE words in blocks of LINE, each
 worked out for every tag before it. A run of more than LONG bytes without a space (a
 settings file without white space, a query string) is parted behind its marks, and each
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import Words, WordTable, batch_of, chunks, code_points, col, mix, prefix_hash, span_hash, utf8
+from .common import U64, Words, WordTable, batch_of, chunks, code_points, col, mix, prefix_hash, saved, span_hash, utf8
 
 KINDS = ("assign", "access", "hex", "crf")
 CRF = 3
@@ -41,6 +43,8 @@ _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _NAMED = re.compile("passw|secret|token|api_?key|auth|credential|private", re.IGNORECASE)
 #: Marks behind which long runs are parted.
 _MARKS = np.isin(np.arange(256), list(b",;&?|:={}[]()<>"))
+#: A run of letters and digits that may be a secret of a kind without a pattern.
+_MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[^0-9\s]*[0-9])(?=[^A-Za-z\s]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}+(?![.:/@])")
 _HEXES = np.isin(np.arange(256), list(b"0123456789abcdef"))
 
 
@@ -109,7 +113,7 @@ def features(word: str) -> tuple[list[str], list[str]]:
     short = shape if len(shape) <= 10 else shape[:5] + "~" + shape[-4:]
     own = ["shape " + short, f"size {min(n, 64) // 4}", f"entropy {int(2 * entropy)}", f"digits {min(9, sum(x.isdigit() for x in core) * 10 // max(1, n))}"]
     own += [f"kinds {sum((any(map(str.islower, core)), any(map(str.isupper, core)), any(map(str.isdigit, core)), not core.isalnum()))} {n >= 16}"]
-    own += [f"named {m[0].lower()}" for m in [_NAMED.search(word)] if m] + ["hex"] * bool(n >= 16 and re.fullmatch("[0-9a-fA-F]+", core)) + ["access"] * core.startswith("AKIA")
+    own += [f"named {m[0].lower()}" for m in [_NAMED.search(word)] if m] + ["mixed"] * bool(_MIXED.search(word)) + ["hex"] * bool(n >= 16 and re.fullmatch("[0-9a-fA-F]+", core)) + ["access"] * core.startswith("AKIA")
     own += [f"sign {x}" for x in "=:\"'" if x in word] + ["at"] * ("@" in word)
     near = [f"ends {word[-1:] if not word[-1:].isalnum() else ''}", f"n {min(n, 40) // 8}"] + [f"n named {m[0].lower()}" for m in [_NAMED.search(word)] if m] + [f"n sign {x}" for x in "=:" if x in word]
     return own, near
@@ -318,14 +322,14 @@ def _found(batches, field: Field):
         yield batch, base, [sorted(b + m) for b, m in zip(base, more, strict=True)]
 
 
-def stretches(docs: DataFrame) -> DataFrame:
-    """Training stretches: words (of long ones the features instead), tags, file, hit (whether a pattern matches in it) and h, a hash to choose by; docs: text."""
+def stretches(docs: DataFrame, kinds: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+    """Training stretches: words (of long ones the features instead), tags, file, hit (whether a pattern of these kinds matches in it) and h, a hash to choose by; docs: text."""
 
     def run(batches):
         for batch in chunks(batches):
             data, offs = utf8(batch.column("text"))
             w, hexes = Pieces(data, offs), hex_rows(data, offs)
-            kinds, points, first = file_kinds(w), code_points(data), w.first
+            files, points, first = file_kinds(w), code_points(data), w.first
             out: dict[str, list] = {"words": [], "features": [], "tags": [], "file": [], "hit": [], "h": []}
             for i, text in enumerate(batch.column("text").to_pylist()):
                 if not text or first[i] == first[i + 1]:
@@ -333,31 +337,36 @@ def stretches(docs: DataFrame) -> DataFrame:
                 a, b = int(first[i]), int(first[i + 1])
                 s, f = points[w.start[a:b]] - points[offs[i]], points[w.end[a:b]] - points[offs[i]]
                 tag = np.zeros(b - a, int)
-                found = base_spans(text, hexes[i])
+                found = [x for x in base_spans(text, hexes[i]) if x[1] in kinds]
                 for x, _, y in found:
                     m = np.flatnonzero((s < y) & (f > x))
                     tag[m] = IN
                     tag[m[:1]] = BEGIN
                 seed = int(mix(w.hash[a : a + 1] ^ w.hash[b - 1 : b])[0])
-                places = [(int(np.searchsorted(f, x, "right")), True) for x, _, _ in found[:4]] + [(seed % (b - a), False)]
+                places = [(int(np.searchsorted(f, x, "right")), True) for x, _, _ in found] + [(seed % (b - a), False)]
                 for p, hit in places:
                     lo, hi = max(0, p - AROUND), min(b - a, p + AROUND)
                     words = [w.text(a + k) for k in range(lo, hi)]
+                    if any(not t and _MIXED.search(x) for t, x in zip(tag[lo:hi].tolist(), words, strict=True)):
+                        continue
                     out["words"].append([x if len(x) <= LONG else "" for x in words])
                     out["features"].append([None if len(x) <= LONG else list(features(x)) for x in words])
                     out["tags"].append(tag[lo:hi].tolist())
-                    out["file"].append(int(kinds[i]))
+                    out["file"].append(int(files[i]))
                     out["hit"].append(hit)
-                    out["h"].append((seed + p) % (1 << 62))
+                    out["h"].append(int(mix(np.array([seed ^ p], np.uint64))[0] >> U64(2)))
             yield batch_of(words=pa.array(out["words"], pa.list_(pa.string())), features=pa.array(out["features"], pa.list_(pa.list_(pa.list_(pa.string())))), tags=pa.array(out["tags"], pa.list_(pa.int32())), file=pa.array(out["file"], pa.int32()), hit=pa.array(out["hit"], pa.bool_()), h=pa.array(out["h"], pa.int64()))
 
     return docs.mapInArrow(run, "words array<string>, features array<array<array<string>>>, tags array<int>, file int, hit boolean, h long")
 
 
-def trained(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field:
-    drawn = stretches(docs.select(col(text).alias("text")))
-    # two heaps of bounded size, in one pass
-    drawn = drawn.withColumn("n", F.row_number().over(_by_hash())).where(F.col("n") <= sample)
+def trained(docs: DataFrame, text: str = "text", sample: int = SAMPLE, kinds: tuple[int, ...] = (0, 1, 2)) -> Field:
+    """A field fitted on what the patterns of these kinds find in docs."""
+    drawn = saved(stretches(docs.select(col(text).alias("text")), kinds))
+    counts = drawn.groupBy("hit").agg(F.count("*").alias("all"))
+    # only about twice the sample of either kind is ordered, whatever their numbers
+    few = drawn.join(F.broadcast(counts), "hit").where(F.col("h") < (1 << 62) * 2.0 * sample / F.col("all"))
+    drawn = few.withColumn("n", F.row_number().over(_by_hash())).where(F.col("n") <= sample)
     rows = sorted(drawn.collect(), key=lambda r: (r.hit, r.h, r.words))
     words = [[w if f is None else tuple(f) for w, f in zip(r.words, r.features, strict=True)] for r in rows]
     return fit([(w, list(r.tags), r.file) for w, r in zip(words, rows, strict=True)])
