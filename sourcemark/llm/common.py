@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -50,10 +51,15 @@ def saved(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="sourcemark-")
         context.setCheckpointDir(shared)
-    # files of shuffles that nothing refers to any more go now, not when the driver's heap happens to be full
+    out = df.checkpoint()
+    released(df)
+    return out
+
+
+def released(df: DataFrame) -> None:
+    """Files of shuffles that nothing refers to any more go now, not when the driver's heap happens to be full."""
     gc.collect()
-    context._jvm.System.gc()
-    return df.checkpoint()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def dropped(*frames: DataFrame) -> None:
@@ -121,7 +127,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text: str | None = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most so many text bytes, or of one row."""
+    """A task's rows in batches of at most so many text bytes, or of one row."""
+    try:
+        yield from parted(batches, text, limit)
+    finally:
+        tidied()
+
+
+def parted(batches: Iterable[pa.RecordBatch], text: str | None = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -134,6 +147,15 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str | None = "text", limit:
             at = stop
 
 
+def tidied() -> None:
+    """A worker goes on to other tasks: what this one needed goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Words:
     """The words [^\\x20\\x09-\\x0D]+ of a batch of texts: byte spans, rows and 64-bit hashes.
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, batch_of, chunks, col, mix, powers, saved, utf8, whole_runs
+from .common import U64, Words, batch_of, chunks, col, mix, parted, powers, saved, utf8, whole_runs
 
 COORDS, ROWS, MISS = 256, 4, 1e-6
 #: A list is compared in blocks of so many members.
@@ -135,7 +135,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int = 5) -
             for i, j in zip(cut, cut[1:], strict=False):
                 a, ids = held.column("a")[i].as_py(), held.column("id")[i:j].to_pylist()
                 sets: list[np.ndarray] = []
-                for some in chunks(held.select(["text"]).slice(i, j - i).combine_chunks().to_batches()):
+                for some in parted(held.select(["text"]).slice(i, j - i).combine_chunks().to_batches()):
                     sets += shingle_sets(some.column("text"), words)
                 centre = [s for x, s in zip(ids, sets, strict=True) if x == a]
                 ok = sorted({x for x, s in zip(ids, sets, strict=True) if x != a and any(linked(s, c, percent) for c in centre)})
@@ -229,7 +229,7 @@ def linking(found: DataFrame, docs: DataFrame, percent: int, words: int = 5) ->
                 some = held.slice(i, j - i).combine_chunks()
                 ids, comp, met = (some.column(c).to_pylist() for c in ("id", "component", "met"))
                 sets: list[np.ndarray] = []
-                for part in chunks(some.select(["text"]).to_batches()):
+                for part in parted(some.select(["text"]).to_batches()):
                     sets += shingle_sets(part.column("text"), words)
                 at: dict[int, list[int]] = {}
                 for k, x in enumerate(ids):
