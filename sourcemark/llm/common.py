@@ -25,6 +25,7 @@ _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def col(name: str) -> Column:
@@ -51,15 +52,12 @@ def saved(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="sourcemark-")
         context.setCheckpointDir(shared)
-    out = df.checkpoint()
-    released(df)
-    return out
-
-
-def released(df: DataFrame) -> None:
-    """Files of shuffles that nothing refers to any more go now, not when the driver's heap happens to be full."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(_CLEAN, "false")
+    conf.set(_CLEAN, "true")  # the frame's own shuffles go with its last task
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        conf.set(_CLEAN, before)
 
 
 def dropped(*frames: DataFrame) -> None:
