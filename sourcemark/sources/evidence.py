@@ -20,19 +20,14 @@ class Evidence(NamedTuple):
 
 def as_evidence(context: str | Sequence) -> tuple[Evidence, ...]:
     """A text, or a list of texts, (id, text) pairs and Evidence; a text without an id is ctx-{place}."""
-    if isinstance(context, str):
-        context = [context]
-    out = []
-    for i, item in enumerate(context):
-        if isinstance(item, Evidence):
-            out.append(item)
-        elif isinstance(item, str):
-            out.append(Evidence(f"ctx-{i}", item))
-        elif isinstance(item, tuple) and len(item) == 2:
-            out.append(Evidence(str(item[0]), str(item[1])))
-        else:
-            raise TypeError(f"context[{i}] is a {type(item).__name__}; expected a text, an (id, text) tuple or Evidence")
-    return tuple(out)
+
+    def source(place: int, item) -> Evidence:
+        pair = (f"ctx-{place}", item) if isinstance(item, str) else item
+        if not isinstance(pair, tuple) or len(pair) != len(Evidence._fields):
+            raise TypeError(f"context[{place}] is a {type(item).__name__}; expected a text, an (id, text) tuple or Evidence")
+        return Evidence(*map(str, pair))
+
+    return tuple(source(*x) for x in enumerate([context] if isinstance(context, str) else context))
 
 
 def text_or_file(value: str) -> str:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sourcemark import TrigramEncoder, proofread
-from sourcemark.functions.hashing import canonical_json
+from sourcemark.functions.hashing import compact_json
 from sourcemark.plans.proofread import exploded
 from sourcemark.sources import sinks
 from sourcemark.sources.evidence import Evidence, as_evidence, case_rows, named_source, text_or_file
@@ -83,7 +83,7 @@ def test_sinks(spark):
     reply = json.loads(sinks.response(got).first().json)
     assert reply["weakest_anchors"][0]["checked_by"] in {"arithmetic", "meaning"}
     assert "not a verdict" in sinks.summary(got).first().text
-    assert canonical_json({"b": 5e-06, "a": "é"}) == '{"a":"é","b":5e-06}'
+    assert compact_json({"b": 5e-06, "a": "é"}) == '{"a":"é","b":5e-06}'
 
 
 def test_one_case_alone_and_among_many(spark):
