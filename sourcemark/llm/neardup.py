@@ -1,23 +1,29 @@
-"""Near-duplicate groups by MinHash signatures posted under their coordinates.
+"""Near-duplicate groups by an inverted join over the coordinates of MinHash signatures.
 
 A document's set is its distinct shingles of `words` words. Its signature has COORDS
-minima; a posted coordinate is a hash of ROWS of them. Steps:
+minima; two documents collide in a coordinate if they have the same value there. Pairs
+that collide `need` times are candidates: one of the least similarity fails that with a
+chance of MISS. Steps:
 
 1. Equal sets are one class; only its smallest document goes on.
-2. Classes are posted under each (coordinate, value) of a prefix: as many coordinates as
-   leave a pair of the least similarity none in common with a chance of MISS at most.
-   Each posting list links its smallest member to the others: linear in the list,
-   whatever its size.
-3. Pairs that match in `need` minima (which such a pair fails with a chance of MISS) are
-   confirmed on the full sets; the confirmed ones give components.
-4. Lists that still hold several components are merged once more, in blocks, for the
-   pairs across components that match `need` times, each in the first list that it
-   shares. Only members go on, with whom they met; their sets come together by list and
-   block, and pairs are confirmed until they join nothing new: members of one component
-   need no further pair, and only links that join components come out.
-
-So a pair is lost only where its signature fails (twice MISS at most) and no path of
-other links joins it.
+2. Every coordinate-value pair has a global rank, by its count (the bit length of a count
+   over SLOTS slots, a table of fixed size) and its key. A class is posted under the
+   COORDS - need + 1 first of its pairs: two classes that collide `need` times share one
+   of these, whatever the order, and by this one frequent pairs have no long lists.
+3. Each posting list links its smallest member to the others: linear in the list,
+   whatever its size. Collisions of these pairs are counted over all coordinates (those
+   not posted are looked up, never merged), and candidates are confirmed on the full
+   sets; the confirmed ones give components.
+4. Lists that still hold several components are merged, in blocks by set size, for the
+   pairs across components: members of other sizes than a pair may have and of the same
+   component are skipped, collisions of the rest counted, and each pair is retained in
+   the first list that it shares. Only members go on, with whom they met; their sets come
+   together by list and block, and pairs are confirmed until they join nothing new:
+   members of one component need no further pair, and only links that join components
+   come out.
+
+So a pair is lost only where its signature fails (MISS) and no path of other links joins
+it.
 
 Defined cases: null and empty texts have the empty set and link with nothing; a text of
 fewer words is one shingle; a null id is linked with nothing, has a null component and
@@ -27,16 +33,18 @@ ignored (groups) or kept as they were (one_each). An empty table gives no rows.
 
 from __future__ import annotations
 
-from math import ceil, exp, lgamma, log
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, batch_of, chunks, col, mix, parted, powers, saved, utf8, whole_runs
+from .common import U64, Words, batch_of, chunks, col, dropped, mix, parted, powers, saved, utf8, whole_runs
 
-COORDS, ROWS, MISS = 256, 4, 1e-6
+COORDS, MISS = 128, 1e-6
+#: Counts of coordinate-value pairs are kept in so many slots, in rows of so many.
+SLOTS, SLOT_ROW = 1 << 20, 256
 #: A list is compared in blocks of so many members.
 BLOCK = 256
 #: Pairs of one document that are confirmed together.
@@ -47,11 +55,6 @@ _FACTORS = _rng.integers(0, 2**32, COORDS, dtype=np.uint32) | np.uint32(1)
 _TERMS = _rng.integers(0, 2**32, COORDS, dtype=np.uint32)
 
 
-def prefix_length(percent: int) -> int:
-    """Posted coordinates that leave a pair of that similarity without a common one with a chance of MISS at most."""
-    return min(COORDS // ROWS, ceil(log(MISS) / log(max(1e-9, 1 - (percent / 100) ** ROWS))))
-
-
 def matches_needed(percent: int) -> int:
     """The most minima in which pairs of that similarity match but for a chance of MISS."""
     p, below = min(1 - 1e-9, percent / 100), 0.0
@@ -62,6 +65,11 @@ def matches_needed(percent: int) -> int:
     return COORDS
 
 
+def prefix_length(need: int) -> int:
+    """Pairs of a signature, first in any global order, of which two that collide `need` times share one."""
+    return COORDS - need + 1
+
+
 def shingle_sets(texts: pa.Array, words: int = 5) -> list[np.ndarray]:
     """Per text the sorted hashes of its distinct shingles."""
     w = Words(*utf8(texts))
@@ -76,32 +84,84 @@ def shingle_sets(texts: pa.Array, words: int = 5) -> list[np.ndarray]:
     return [np.unique(h[a : b - min(n, words) + 1]) if n else h[:0] for a, b, n in zip(w.first[:-1].tolist(), w.first[1:].tolist(), counts.tolist(), strict=True)]
 
 
-def signature(shingles: np.ndarray, posted: int) -> tuple[np.ndarray, bytes]:
-    """The posted coordinates as 64-bit values, and a byte of each minimum; shingles: not empty."""
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The minima of shingles, which are not empty."""
     x, low = (shingles ^ (shingles >> U64(32))).astype(np.uint32), np.full(COORDS, 2**32 - 1, np.uint32)
     for i in range(0, len(x), 256):
         h = x[None, i : i + 256] * _FACTORS[:, None] + _TERMS[:, None]
         h ^= h >> np.uint32(15)
         np.minimum(low, h.min(1), out=low)
-    rows = low[: posted * ROWS].reshape(posted, ROWS).astype(np.uint64)
-    out = np.arange(posted, dtype=np.uint64) + U64(1)
-    for k in range(ROWS):
-        out = mix(out * U64(_P) + rows[:, k])
-    return out, (low * np.uint32(2654435769) >> np.uint32(24)).astype(np.uint8).tobytes()
+    return low
 
 
-def signatures(docs: DataFrame, posted: int, words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, k1 and k2 (hashes of the whole set), keys and sketch of every row; docs: doc_id, text."""
+def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, n_shingles, k1 and k2 (hashes of the whole set) and minima of every row; docs: doc_id, text."""
 
     def run(batches):
         for batch in chunks(batches):
             sets = shingle_sets(batch.column("text"), words)
             k1 = [int(np.add.reduce(mix(s)).view(np.int64)) if len(s) else None for s in sets]
             k2 = [int(np.bitwise_xor.reduce(mix(s + U64(_P))).view(np.int64)) if len(s) else None for s in sets]
-            sig = [signature(s, posted) if len(s) else (None, None) for s in sets]
-            yield batch_of(doc_id=batch.column("doc_id"), n_shingles=pa.array([len(s) for s in sets], pa.int64()), k1=pa.array(k1, pa.int64()), k2=pa.array(k2, pa.int64()), keys=pa.array([k if k is None else k.view(np.int64) for k, _ in sig], pa.list_(pa.int64())), sketch=pa.array([x for _, x in sig], pa.binary()))
+            minima = pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())
+            yield batch_of(doc_id=batch.column("doc_id"), n_shingles=pa.array([len(s) for s in sets], pa.int64()), k1=pa.array(k1, pa.int64()), k2=pa.array(k2, pa.int64()), minima=minima)
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, minima binary")
+
+
+def coordinate_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of minima: the values, a key of each coordinate-value pair (one to one) and the pair's slot."""
+    values = np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDS)
+    keys = mix(values.astype(np.uint64) + (np.arange(COORDS, dtype=np.uint64) << U64(32)))
+    return values, keys, (keys >> U64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def ranks(classes: DataFrame) -> np.ndarray:
+    """For each slot the bit length of how many coordinate-value pairs of the classes fall in it: SLOTS bytes, however many classes there are."""
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def counted(batches):
+        held = np.zeros(SLOTS, np.uint32)
+        for batch in batches:
+            if batch.num_rows:
+                held += np.bincount(coordinate_values(batch.column("minima"))[2].ravel(), minlength=SLOTS).astype(np.uint32)
+        rows = held.reshape(-1, SLOT_ROW)
+        at = np.flatnonzero(rows.any(1))
+        yield batch_of(row=pa.array(at, pa.int64()), counts=pa.array([rows[i].tobytes() for i in at], pa.binary()))
+
+    def summed(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row, counts in zip(batch.column("row").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                held[row] = held.get(row, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
+        lengths = [np.frexp(x.astype(float))[1].astype(np.uint8).tobytes() for x in held.values()]
+        yield batch_of(row=pa.array(list(held), pa.int64()), lengths=pa.array(lengths, pa.binary()))
+
+    sums = classes.select("minima").mapInArrow(counted, "row long, counts binary").repartition(n, "row").mapInArrow(summed, "row long, lengths binary")
+    out = np.zeros((SLOTS // SLOT_ROW, SLOT_ROW), np.uint8)
+    for row, lengths in sums.collect():  # SLOTS / SLOT_ROW rows at most
+        out[row] = np.frombuffer(lengths, np.uint8)
+    return out.reshape(-1)
+
+
+def prefixes(classes: DataFrame, rank: np.ndarray, posted: int) -> DataFrame:
+    """The classes with the keys of their `posted` pairs of the least ranks, ascending, and a byte of each minimum as sketch."""
+    shared = classes.sparkSession.sparkContext.broadcast(rank.tobytes())
+
+    def run(batches):
+        rank = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values, keys, slots = coordinate_values(batch.column("minima"))
+            first = np.lexsort((keys, rank[slots]))[:, :posted]
+            # ascending as 64-bit numbers without sign: the order in which a pair's first list is looked for
+            kept = np.sort(np.take_along_axis(keys, first, 1)).view(np.int64)
+            ends = np.arange(0, kept.size + 1, posted, dtype=np.int32)
+            sketch = (values * np.uint32(2654435769) >> np.uint32(24)).astype(np.uint8)
+            held = {c: batch.column(c) for c in ("k1", "k2", "doc_id", "n_shingles")}
+            yield batch_of(**held, keys=pa.ListArray.from_arrays(pa.array(ends), pa.array(kept.ravel())), sketch=pa.array([x.tobytes() for x in sketch], pa.binary()))
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>, sketch binary")
+    return classes.mapInArrow(run, "k1 long, k2 long, doc_id long, n_shingles long, keys array<long>, sketch binary")
 
 
 def sketches(column: pa.Array) -> np.ndarray:
@@ -109,7 +169,7 @@ def sketches(column: pa.Array) -> np.ndarray:
 
 
 def matching(pairs: DataFrame, need: int) -> DataFrame:
-    """a, b of the pairs whose sketches (x, y) match in `need` minima."""
+    """a, b of the pairs whose sketches (x, y) collide in `need` coordinates."""
 
     def run(batches):
         for batch in batches:
@@ -171,7 +231,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def across(lists: DataFrame, need: int, percent: int) -> DataFrame:
-    """Members of lists that match others of other components `need` times, and whose first common list it is: key, place, id, component, met (ids of the others, each pair with one of its two); lists: key, n (the list's size), id, component, size, keys, sketch."""
+    """Members of lists that collide with others of other components `need` times, and whose first common list it is: key, place, id, component, met (ids of the others, each pair with one of its two); lists: key, n (the list's size), id, component, size, keys, sketch."""
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     # every two blocks of a list meet in one place: block i goes to (i, j) and (j, i), ordered, for all j
@@ -195,16 +255,19 @@ def across(lists: DataFrame, need: int, percent: int) -> DataFrame:
                 return batch_of(key=pa.array(key[at]), place=pa.array(place[at]), id=pa.array(ids[at]), component=pa.array(comp[at]), met=lists)
 
             for i, j in zip(cut.tolist(), cut.tolist()[1:], strict=False):
-                order = i + np.lexsort((ids[i:j], own[i:j]))
-                c, s, o, z = comp[order], sketch[order], own[order], 100 * size[order]
+                order = i + np.lexsort((ids[i:j], size[i:j], own[i:j]))
+                c, s, o, z = comp[order], sketch[order], own[order], size[order]
                 split = int(np.searchsorted(o, o[0], "right"))
+                # each block ascends by size: what is too small or too large is skipped whole
+                start = np.arange(1, split + 1) if split == len(order) else split + np.searchsorted(z[split:], -(-percent * z[:split] // 100))
+                stop = (split if split < len(order) else 0) + np.searchsorted(z[split:] if split < len(order) else z, 100 * z[:split] // percent, "right")
                 for k in range(split):
-                    start = k + 1 if split == len(order) else split
-                    rest = start + np.flatnonzero((c[start:] != c[k]) & (z[start:] * 100 >= percent * z[k]) & (z[k] * 100 >= percent * z[start:]))
+                    rest = start[k] + np.flatnonzero(c[start[k] : stop[k]] != c[k])
                     rest = rest[(s[rest] == s[k]).sum(1) >= need] if len(rest) else rest
                     if len(rest):
-                        first = (keys[order[rest]] == keys[order[k]]).argmax(1)
-                        rest = order[rest[keys[order[k]][first] == key[i]]]
+                        both = keys[order[rest]]
+                        first = np.isin(both, keys[order[k]]).argmax(1)
+                        rest = order[rest[both[np.arange(len(rest)), first] == key[i]]]
                         if len(rest):
                             met[int(order[k])] = ids[rest]
                             seen[order[k]], seen[rest] = True, True
@@ -256,12 +319,14 @@ def linking(found: DataFrame, docs: DataFrame, percent: int, words: int = 5) ->
 
 def members(docs: DataFrame, percent: int, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; docs: doc_id, text."""
-    posted, need = prefix_length(percent), matches_needed(percent)
-    sigs = saved(signatures(docs, posted, words))
+    need = matches_needed(percent)
+    sigs = saved(signatures(docs, words))
     real = sigs.where(F.col("k1").isNotNull() & F.col("doc_id").isNotNull())
     # equal sets are one class, under its smallest document
-    best = F.min(F.struct("doc_id", "n_shingles", "keys", "sketch"))
-    classes = saved(real.groupBy("k1", "k2").agg(best.alias("m")).select("k1", "k2", "m.*"))
+    best = F.min(F.struct("doc_id", "n_shingles", "minima"))
+    distinct = saved(real.groupBy("k1", "k2").agg(best.alias("m")).select("k1", "k2", "m.*"))
+    classes = saved(prefixes(distinct, ranks(distinct), prefix_length(need)))
+    dropped(distinct)
     posts = classes.select("doc_id", F.explode("keys").alias("key"))
     least = posts.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").drop("z")
     star = posts.join(least, "key").where(F.col("a") < F.col("doc_id")).select("a", F.col("doc_id").alias("b")).distinct()

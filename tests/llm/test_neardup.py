@@ -86,10 +86,34 @@ def test_signatures_estimate_similarity():
     for share in (0.5, 0.85):
         same = int(2000 * 2 * share / (1 + share))
         y = np.concatenate([x[:same], rng.integers(0, 2**63, 2000 - same).astype(np.uint64)])
-        a, b = (np.frombuffer(N.signature(np.unique(z), 19)[1], np.uint8) for z in (x, y))
+        a, b = (N.signature(np.unique(z)) for z in (x, y))
         assert abs((a == b).mean() - share) < 0.12
-    assert N.prefix_length(85) == 19
-    assert 160 < N.matches_needed(85) < 210
+    assert 80 < N.matches_needed(85) < 100
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_prefixes_meet(spark, percent):
+    """Any two signatures that collide often enough share a posted pair, whatever the counts are; frequent pairs are posted last."""
+    rng, need = np.random.default_rng(3), N.matches_needed(percent)
+    base = rng.integers(0, 2**32, N.COORDS, dtype=np.uint32)
+    rows = []
+    for i in range(60):
+        own = rng.integers(0, 2**32, N.COORDS, dtype=np.uint32)
+        own[rng.permutation(N.COORDS)[: need + i % 20]] = 0
+        rows.append((i, i, i, 9, bytearray(np.where(own, own, base).astype(np.uint32).tobytes())))
+    classes = spark.createDataFrame(rows, "k1 long, k2 long, doc_id long, n_shingles long, minima binary")
+    rank = N.ranks(classes)
+    assert len(rank) == N.SLOTS and rank.max() in (6, 7)
+    for order in (rank, rng.integers(0, 9, N.SLOTS).astype(np.uint8)):
+        got = N.prefixes(classes, order, N.prefix_length(need)).collect()
+        values = [np.frombuffer(r[4], np.uint32) for r in rows]
+        for a in range(60):
+            for b in range(a):
+                if (values[a] == values[b]).sum() >= need:
+                    assert set(got[a]["keys"]) & set(got[b]["keys"])
+    rare = N.coordinate_values(pa.array([bytes(r[4]) for r in rows], pa.binary()))[1].view(np.int64)
+    got = N.prefixes(classes, rank, N.COORDS - need - 19).collect()
+    assert not any(set(r["keys"]) & set(rare[i][values[i] == base].tolist()) for i, r in enumerate(got))
 
 
 def test_shingles():
