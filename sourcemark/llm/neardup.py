@@ -49,6 +49,8 @@ SLOTS, SLOT_ROW = 1 << 20, 256
 BLOCK = 256
 #: Pairs of one document that are confirmed together.
 PART = 128
+#: Pointers to one member are followed in so many parts.
+SALTS = 16
 _P = 0xC2B2AE3D27D4EB4F
 _rng = np.random.default_rng(8)
 _FACTORS = _rng.integers(0, 2**32, COORDS, dtype=np.uint32) | np.uint32(1)
@@ -222,8 +224,11 @@ def components(edges: DataFrame) -> DataFrame:
         near = at.join(seen, "x").select("x", "to", F.least("to", "far").alias("new"))
         hook = near.groupBy(F.col("to").alias("x")).agg(F.min("new").alias("hook"))
         step = near.join(hook, "x", "left").select("x", "to", F.least("new", F.coalesce("hook", "new")).alias("new"))
-        jump = step.select(F.col("x").alias("new"), F.col("new").alias("next"))
-        step = saved(step.join(jump, "new", "left").select("x", "to", F.least("new", F.coalesce("next", "new")).alias("new")))
+        # all members of a large component point to one: each has SALTS places to look that up
+        jump = step.select(F.col("x").alias("new"), F.col("new").alias("next")).join(step.select("new").distinct(), "new")
+        jump = jump.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        step = step.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
+        step = saved(step.join(jump, ["new", "salt"], "left").select("x", "to", F.least("new", F.coalesce("next", "new")).alias("new")))
         moved = step.where(F.col("new") != F.col("to")).limit(1).count()
         at = step.select("x", F.col("new").alias("to"))
         if not moved:
