@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+from collections.abc import Iterable, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from . import scan
 
@@ -20,11 +23,9 @@ UNITS = T.ArrayType(T.StructType([*_PLACE, T.StructField("kind", _TEXT), *_READ]
 _SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
-@pandas_udf(_TEXT)
-def nfkc(texts: pd.Series) -> pd.Series:
-    import unicodedata
-
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+@arrow_udf(_TEXT)
+def nfkc(texts: pa.Array) -> pa.Array:
+    return pa.array((t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()), pa.string())
 
 
 def normalised(text: Column) -> Column:
@@ -35,23 +36,41 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(out, f"^{_SPACE}|{_SPACE}$", "")
 
 
-def _rows(found: list) -> list[dict]:
-    return [x._asdict() for x in found]
+def listed(lists: Iterable[Sequence[tuple] | None], names: Sequence[str], kinds: Sequence[pa.DataType]) -> pa.ListArray:
+    """Lists of tuples as an array of lists of structs, built field by field; None is a null list."""
+    flat, offsets = [], [0]
+    for rows in lists:
+        if rows is None:
+            offsets[-1:] = [None, len(flat)]
+        else:
+            flat += rows
+            offsets.append(len(flat))
+    fields = [pa.array(x, kind) for x, kind in zip(zip(*flat), kinds, strict=True)] if flat else [pa.array([], kind) for kind in kinds]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, list(names)))
+
+
+STRINGS = pa.list_(pa.string())
+_KINDS = {"text": pa.string(), "start": pa.int32(), "end": pa.int32(), "kind": pa.string(), "readings": STRINGS, "notes": STRINGS}
+
+
+def _found(scanner, row: type, texts: pa.Array, locales: pa.Array) -> pa.ListArray:
+    found = (None if t is None else scanner(t, x) for t, x in zip(texts.to_pylist(), locales.to_pylist(), strict=True))
+    return listed(found, row._fields, [_KINDS[f] for f in row._fields])
 
 
-@pandas_udf(NUMERALS)
-def numerals(texts: pd.Series, locales: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else _rows(scan.numerals(t, x)) for t, x in zip(texts, locales, strict=True)], dtype=object)
+@arrow_udf(NUMERALS)
+def numerals(texts: pa.Array, locales: pa.Array) -> pa.Array:
+    return _found(scan.numerals, scan.Numeral, texts, locales)
 
 
-@pandas_udf(UNITS)
-def units(texts: pd.Series, locales: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else _rows(scan.units(t, x)) for t, x in zip(texts, locales, strict=True)], dtype=object)
+@arrow_udf(UNITS)
+def units(texts: pa.Array, locales: pa.Array) -> pa.Array:
+    return _found(scan.units, scan.Unit, texts, locales)
 
 
-@pandas_udf(T.IntegerType())
-def dropped_words(texts: pd.Series, locales: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else scan.dropped_words(t, x) for t, x in zip(texts, locales, strict=True)], dtype="Int32")
+@arrow_udf(T.IntegerType())
+def dropped_words(texts: pa.Array, locales: pa.Array) -> pa.Array:
+    return pa.array((None if t is None else scan.dropped_words(t, x) for t, x in zip(texts.to_pylist(), locales.to_pylist(), strict=True)), pa.int32())
 
 
 def is_normalised(text: Column) -> Column:

@@ -6,12 +6,15 @@ projection, with no shuffle at all, that runs the same in batches and in streams
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from ..functions import scan
+from ..functions.columns import STRINGS
 from ..functions.encoders import Encoder, Tokens, embed, scorable
 
 SPAN = "struct<start:int,end:int>"
@@ -21,7 +24,7 @@ FOUND = f"struct<anchors:array<{ANCHOR}>,error:string>"
 
 def _anchor(unit: scan.Unit, support: float, value=None, evidence=(None, None, None), notes: tuple = ()) -> dict:
     source, text, span = evidence
-    return {"text": unit.text, "span": {"start": unit.start, "end": unit.end}, "kind": unit.kind, "support": support, "value": value, "evidence_id": source, "evidence_text": text, "evidence_span": span and {"start": span[0], "end": span[1]}, "notes": [*unit.notes, *notes]}
+    return {"text": unit.text, "span": (unit.start, unit.end), "kind": unit.kind, "support": support, "value": value, "evidence_id": source, "evidence_text": text, "evidence_span": span, "notes": [*unit.notes, *notes]}
 
 
 class NumeralChannel:
@@ -106,14 +109,40 @@ def anchors_of(answer: str, sources: list[tuple[str, str]], locale: str, encoder
 def anchors(answer: Column, sources: Column, locale: Column, encoder: Encoder | None, most: int = 2048) -> Column:
     """{anchors, error} of a case; a case that can't be answered has a null and says why."""
 
-    @pandas_udf(FOUND)
-    def run(answers: pd.Series, sources: pd.Series, locales: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, s, x in zip(answers, sources, locales, strict=True):
+    @arrow_udf(FOUND)
+    def run(answers: pa.Array, sources: pa.Array, locales: pa.Array) -> pa.Array:
+        found, errors = [], []
+        for a, s, x in zip(answers.to_pylist(), _pairs(sources), locales.to_pylist(), strict=True):
             try:
-                out.append((anchors_of(a or "", [(e["id"], e["text"]) for e in (s if s is not None else ())], x, encoder, most), None))
+                found.append(anchors_of(a or "", s, x, encoder, most))
+                errors.append(None)
             except ValueError as e:
-                out.append((None, str(e)))
-        return pd.DataFrame(out, columns=["anchors", "error"])
+                found.append(None)
+                errors.append(str(e))
+        return pa.StructArray.from_arrays([_arrow(found), pa.array(errors, pa.string())], ["anchors", "error"])
 
     return run(answer, sources, locale)
+
+
+def _pairs(sources: pa.ListArray) -> Iterator[list[tuple[str, str]]]:
+    """Each case's (id, text); none for a null."""
+    all_of = sources.flatten()
+    pairs = iter(zip(all_of.field("id").to_pylist(), all_of.field("text").to_pylist(), strict=True))
+    for n in sources.value_lengths().to_pylist():
+        yield [next(pairs) for _ in range(n or 0)]
+
+
+def _spans(pairs: list[tuple[int, int] | None]) -> pa.StructArray:
+    ends = [pa.array((p and p[i] for p in pairs), pa.int32()) for i in (0, 1)]
+    return pa.StructArray.from_arrays(ends, ["start", "end"], mask=ends[0].is_null())
+
+
+def _arrow(found: list[list[dict] | None]) -> pa.ListArray:
+    """Anchors of a batch of cases, field by field."""
+    flat = [a for anchors in found for a in anchors or ()]
+    offsets = np.cumsum([0, *(len(anchors or ()) for anchors in found)])
+    kinds = {"text": pa.string(), "kind": pa.string(), "support": pa.float64(), "value": pa.string(), "evidence_id": pa.string(), "evidence_text": pa.string(), "notes": STRINGS}
+    names = ["text", "span", "kind", "support", "value", "evidence_id", "evidence_text", "evidence_span", "notes"]
+    fields = [pa.array((a[n] for a in flat), kinds[n]) if n in kinds else _spans([a[n] for a in flat]) for n in names]
+    missing = np.array([anchors is None for anchors in found] + [False])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=missing), pa.StructArray.from_arrays(fields, names))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,9 +31,9 @@ def normalised_cases(cases: DataFrame, k: int = 1, locale: str = "und") -> DataF
     return out.withColumn("texts", normal_array(texts)).withColumn("answer", F.element_at("texts", 1)).withColumn("sources", F.zip_with("sources", F.slice("texts", 2, 1 << 30), lambda s, t: F.struct(s["id"].alias("id"), t.alias("text")))).drop("texts")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def normal_array(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda ts: [scan.normalised(t or "") for t in ts])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def normal_array(lists: pa.Array) -> pa.Array:
+    return pa.array(([scan.normalised(t or "") for t in ts] for ts in lists.to_pylist()), C.STRINGS)
 
 
 def all_warnings() -> F.Column:
