@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -73,6 +73,15 @@ def dropped_words(texts: pa.Array, locales: pa.Array) -> pa.Array:
     return pa.array((None if t is None else scan.dropped_words(t, x) for t, x in zip(texts.to_pylist(), locales.to_pylist(), strict=True)), pa.int32())
 
 
+def opened(df: DataFrame, keys: Sequence[str], found: Column | str, at: str, item: str) -> DataFrame:
+    """keys, place and item, one row an item of a list that a UDF has made.
+
+    Outer and then filtered: for a plain generator a filter on the list's size is inferred,
+    which runs the UDF once more, below any exchange.
+    """
+    return df.select(*keys, F.posexplode_outer(found).alias(at, item)).where(F.col(at).isNotNull())
+
+
 def is_normalised(text: Column) -> Column:
     return normalised(text) == text
 

@@ -10,7 +10,7 @@ from ..functions import columns as C
 
 def scanned(texts: DataFrame, *keys: str) -> DataFrame:
     """One row a numeral of texts (keys, locale, text): keys, num_pos and the numeral's fields."""
-    return texts.select(*keys, F.posexplode(C.numerals("text", "locale")).alias("num_pos", "n")).select(*keys, "num_pos", "n.*")
+    return C.opened(texts, keys, C.numerals("text", "locale"), "num_pos", "n").select(*keys, "num_pos", "n.*")
 
 
 def read(numerals: DataFrame, *keys: str) -> DataFrame:
@@ -29,8 +29,11 @@ def supported(answers: DataFrame, sources: DataFrame) -> DataFrame:
     answers, sources: case_id, num_pos, readings, ...; an equi-join on (case_id, reading), so
     large cases spread over their values.
     """
-    hits = answers.select("case_id", "num_pos", F.explode("readings").alias("reading")).join(value_set(sources, "case_id"), ["case_id", "reading"], "left_semi").select("case_id", "num_pos").distinct().withColumn("hit", F.lit(1.0))
-    return answers.join(hits, ["case_id", "num_pos"], "left").withColumn("support", F.coalesce("hit", F.lit(0.0))).drop("hit")
+    theirs = value_set(sources, "case_id").withColumn("hit", F.lit(1.0))
+    looked = answers.withColumn("reading", F.explode("readings")).join(theirs, ["case_id", "reading"], "left")
+    rest = [c for c in answers.columns if c not in ("case_id", "num_pos")]
+    out = looked.groupBy("case_id", "num_pos").agg(*(F.first(c).alias(c) for c in rest), F.coalesce(F.max("hit"), F.lit(0.0)).alias("support"))
+    return out.select(*answers.columns, "support")
 
 
 def first_carrier(answers: DataFrame, sources: DataFrame) -> DataFrame:

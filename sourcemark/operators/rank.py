@@ -35,10 +35,15 @@ def weakest(exploded: DataFrame, k: int | Column, most: int = 4) -> DataFrame:
 
 
 def floors(cases: DataFrame, exploded: DataFrame, k: int) -> DataFrame:
-    """case_id, k, floor, n_marked, n_numeral of every case; k as in proofread."""
-    counts = exploded.where(F.col("kind") != "skipped").groupBy("case_id").agg(F.count("*").alias("n_marked"), F.count_if(F.col("kind") == "numeral").alias("n_numeral"))
-    sized = cases.select("case_id").join(counts, "case_id", "left").select("case_id", *(F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in ("n_marked", "n_numeral")))
-    sized = sized.withColumn("k", C.resolved_k(F.lit(k), F.col("n_marked")))
-    ranked = weakest(exploded, max(4, k), max(4, k)).join(sized.select("case_id", "k"), "case_id").where(F.col("r") <= F.col("k"))
-    floor = ranked.groupBy("case_id").agg((F.sum("support") / F.count("*")).alias("floor"))
-    return sized.join(floor, "case_id", "left").select("case_id", "k", F.coalesce("floor", F.lit(1.0)).alias("floor"), "n_marked", "n_numeral")
+    """case_id, k, floor, n_marked, n_numeral of every case; k as in proofread.
+
+    Counts and ranks come from one exchange; a case's group is bounded by its max_anchors.
+    """
+    whole = Window.partitionBy("case_id")
+    order = whole.orderBy("support", F.col("kind") != "numeral", "start", "end")
+    rows = exploded.where(F.col("kind") != "skipped").select("case_id", "kind", "support", "start", "end")
+    rows = rows.withColumn("n_marked", F.count("*").over(whole)).withColumn("n_numeral", F.count_if(F.col("kind") == "numeral").over(whole))
+    rows = rows.withColumn("k", C.resolved_k(F.lit(k), F.col("n_marked"))).withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("k"))
+    found = rows.groupBy("case_id").agg(*(F.first(c).alias(c) for c in ("k", "n_marked", "n_numeral")), F.avg("support").alias("floor"))
+    zero = [F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in ("n_marked", "n_numeral")]
+    return cases.select("case_id").join(found, "case_id", "left").select("case_id", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("floor", F.lit(1.0)).alias("floor"), *zero)

@@ -77,4 +77,4 @@ def proofread(cases: DataFrame, encoder: Encoder | None, k: int = 1, locale: str
 
 def exploded(results: DataFrame) -> DataFrame:
     """One row an anchor, in the answer's order: case_id, ordinal and the anchor's fields, start and end."""
-    return results.select("case_id", F.posexplode("anchors").alias("ordinal", "a")).select("case_id", "ordinal", "a.*").withColumn("start", F.col("span.start")).withColumn("end", F.col("span.end"))
+    return C.opened(results, ["case_id"], "anchors", "ordinal", "a").select("case_id", "ordinal", "a.*").withColumn("start", F.col("span.start")).withColumn("end", F.col("span.end"))

@@ -18,7 +18,7 @@ from ..operators.windows import windows
 from ..sources import sinks
 from ..sources.evidence import exploded as exploded_sources
 from . import cases
-from .cases import table
+from .cases import dealt, table
 from .proofread import exploded, normalised_cases, proofread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +36,11 @@ def _joined(c: str) -> F.Column:
 
 
 def _documents(spark: SparkSession, sf_dir: str, locale: str = "und") -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(locale).alias("locale"))
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumn("locale", F.lit(locale))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id")
 
 
 def _doc_numerals(spark: SparkSession, sf_dir: str, locale: str = "und") -> DataFrame:
@@ -70,7 +74,7 @@ for _locale in ("und", "en", "es"):
 @query
 def page_numerals(spark, sf_dir):
     """Readings in the normal form of raw pages, by page."""
-    pages = table(spark, sf_dir, "pages").select("page_id", C.normalised(F.col("html")).alias("text"), F.lit("und").alias("locale"))
+    pages = dealt(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select("page_id", C.normalised(F.col("html")).alias("text"), F.lit("und").alias("locale"))
     return N.scanned(pages, "page_id").select("page_id", F.col("start").cast("long").alias("start"), "text", _joined("readings"))
 
 
@@ -94,13 +98,13 @@ def value_set_distinct(spark, sf_dir):
 @query
 def word_scan(spark, sf_dir):
     """Words that share no character with a numeral, with their kind."""
-    found = _documents(spark, sf_dir).select("doc_id", F.explode(C.units("text", "locale")).alias("u")).where("u.kind <> 'numeral'")
+    found = C.opened(_documents(spark, sf_dir), ["doc_id"], C.units("text", "locale"), "i", "u").where("u.kind <> 'numeral'")
     return found.select("doc_id", F.col("u.start").cast("long").alias("start"), F.col("u.end").cast("long").alias("end_pos"), F.col("u.text").alias("word"), F.col("u.kind").alias("kind"))
 
 
 @query
 def stopword_split(spark, sf_dir):
-    found = table(spark, sf_dir, "conversations").select(F.explode(C.units("text", F.lit("und"))).alias("u"))
+    found = C.opened(_turns(spark, sf_dir), [], C.units("text", F.lit("und")), "i", "u")
     return found.groupBy(F.lower("u.text").alias("word"), F.col("u.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -233,7 +237,7 @@ def weakest_topk(spark, sf_dir):
 def adaptive_k(spark, sf_dir):
     """k by the number of content words of each conversation turn."""
     n = C.content_words(C.units("text", F.lit("und")))
-    out = table(spark, sf_dir, "conversations").select("conv_id", "turn", n.alias("n"))
+    out = _turns(spark, sf_dir).select("conv_id", "turn", n.alias("n"))
     return out.select("conv_id", "turn", F.col("n").cast("long").alias("n_marked"), C.resolved_k(F.lit(0), F.col("n")).cast("long").alias("k"))
 
 
