@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import scan
+from ..sources import sinks
 
 M = "¦"  # put after each run of digits: RE2 has no look-ahead
 _FRACTION = rf"(?:[.,][0-9]{{1,9}}{M})?"
@@ -90,13 +93,48 @@ _NUMBER_SOURCE = f"SELECT case_id, concat_ws('; ', case_id, total, '30', '12.5')
 
 
 def _channels(answer: str, source: str) -> str:
-    """CTEs a (answers' numerals with support), s (sources'), and near (first nearest source numeral), carry (first with a value in common)."""
-    return f"""a0 AS ({numerals(answer, "case_id")}), s AS ({numerals(source, "case_id")}),
-        a AS (SELECT a0.*, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.case_id = a0.case_id AND list_has_any(s.readings, a0.readings)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS support FROM a0),
+    """CTEs a (answers' numerals with support), s (sources'), near (first nearest source numeral), carry (first with a value in common)."""
+    far = "abs(r.r - v) / greatest(abs(r.r), abs(v), 1.0)"
+    return f"""a0 AS MATERIALIZED ({numerals(answer, "case_id")}), s AS MATERIALIZED ({numerals(source, "case_id")}),
+        sr AS (SELECT case_id, num_pos AS src_num, text, unnest(readings) AS reading FROM s),
+        carry AS MATERIALIZED (SELECT case_id, x.num_pos, arg_min(sr.text, src_num) AS evidence_text FROM (SELECT case_id, num_pos, unnest(readings) AS reading FROM a0) x JOIN sr USING (case_id, reading) GROUP BY 1, 2),
+        a AS MATERIALIZED (SELECT a0.*, CASE WHEN carry.case_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS support FROM a0 LEFT JOIN carry USING (case_id, num_pos)),
         r AS (SELECT case_id, num_pos AS src_num, text AS evidence_text, unnest(range(1, len(readings) + 1)) AS rd, unnest(readings)::DOUBLE AS r FROM s),
-        near AS (SELECT case_id, num_pos, evidence_text, distance FROM (SELECT a.case_id, a.num_pos, r.evidence_text, abs(r.r - v) / greatest(abs(r.r), abs(v), 1.0) AS distance, row_number() OVER (PARTITION BY a.case_id, a.num_pos ORDER BY abs(r.r - v) / greatest(abs(r.r), abs(v), 1.0), src_num, rd) AS o
-            FROM (SELECT case_id, num_pos, readings[1]::DOUBLE AS v FROM a) a JOIN r ON r.case_id = a.case_id) WHERE o = 1),
-        carry AS (SELECT case_id, num_pos, evidence_text FROM (SELECT a.case_id, a.num_pos, s.text AS evidence_text, row_number() OVER (PARTITION BY a.case_id, a.num_pos ORDER BY s.num_pos) AS o FROM a JOIN s ON s.case_id = a.case_id AND list_has_any(s.readings, a.readings)) WHERE o = 1)"""
+        near AS MATERIALIZED (SELECT case_id, num_pos, n.t AS evidence_text, n.d AS distance FROM (SELECT a.case_id, a.num_pos, min(struct_pack(d := {far}, i := src_num, rd := rd, t := r.evidence_text)) AS n
+            FROM (SELECT case_id, num_pos, readings[1]::DOUBLE AS v FROM a) a JOIN r ON r.case_id = a.case_id GROUP BY 1, 2))"""
+
+
+def _lexical(answers: str, sources: str, links: str) -> str:
+    """CTEs up to lex: key, start, fin, word, support, evidence_id, evidence_text, exact of each word of the answers.
+
+    answers: key, t; sources: sid, src_id, t; links: key, pos, sid. Ties go to the earlier
+    source, then to the answer's earlier token, then to the source's.
+    """
+    token = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+
+    def tokens(src: str, key: str) -> str:
+        return f"SELECT {key}, start + j AS start, least(start + j + 4, fin) AS fin, substr(hit, j + 1, 4) AS piece FROM (SELECT *, unnest(range(0, length(hit), 4)) AS j FROM ({hits(src, key, token, False)}))"
+
+    edges = f"[{re.escape(scan.EDGES)}]".replace("'", "''")
+    return rf"""ans AS MATERIALIZED ({answers}), src AS MATERIALIZED ({sources}), links AS MATERIALIZED ({links}),
+        words AS MATERIALIZED ({words("SELECT key, t FROM ans", "key")}),
+        atok AS MATERIALIZED ({tokens("SELECT key, t FROM ans", "key")}),
+        every AS MATERIALIZED (SELECT *, regexp_matches(piece, '[\p{{L}}\p{{N}}]') AS lettered FROM ({tokens("SELECT sid, t FROM src", "sid")})),
+        stok AS MATERIALIZED (SELECT * FROM every WHERE lettered OR sid NOT IN (SELECT sid FROM every WHERE lettered)),
+        pieces AS MATERIALIZED (SELECT piece, row_number() OVER () AS pid FROM (SELECT piece FROM atok UNION SELECT piece FROM stok)),
+        grams AS (SELECT pid, sha256(unnest(list_transform(range(1, length(piece) + 1), lambda i: substr(' ' || lower(piece) || ' ', i, 3)))) AS h FROM pieces),
+        coordinates AS (SELECT pid, ('0x' || substr(h, 1, 8))::BIGINT % 64 AS i, sum(CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 1 THEN 1 ELSE -1 END) AS x FROM grams GROUP BY 1, 2),
+        vectors AS MATERIALIZED (SELECT p.pid, list(coalesce(x, 0)::DOUBLE ORDER BY d.i) AS v FROM (pieces p CROSS JOIN (SELECT unnest(range(64)) AS i) d) LEFT JOIN coordinates c ON c.pid = p.pid AND c.i = d.i GROUP BY 1),
+        wtok AS MATERIALIZED (SELECT w.key, w.start AS word_start, t.start, pid FROM words w JOIN atok t ON t.key = w.key AND t.start < w.fin AND t.fin > w.start JOIN pieces USING (piece) WHERE w.kind = 'lexical'),
+        pairs AS MATERIALIZED (SELECT w.key, w.word_start, l.pos, l.sid, w.pid AS p, q.pid AS q, w.start AS a, s.start AS b, s.fin AS z FROM wtok w JOIN links l ON l.key = w.key JOIN stok s ON s.sid = l.sid JOIN pieces q ON q.piece = s.piece),
+        near_pairs AS MATERIALIZED (SELECT p, q, round(list_inner_product(x.v, y.v) / greatest(sqrt(list_inner_product(x.v, x.v) * list_inner_product(y.v, y.v)), 1e-9), 9) AS c FROM (SELECT DISTINCT p, q FROM pairs) JOIN vectors x ON x.pid = p JOIN vectors y ON y.pid = q),
+        by_source AS (SELECT key, word_start, pos, sid, max(struct_pack(c := c, a := -a, b := -b, z := z)) AS m FROM pairs JOIN near_pairs USING (p, q) GROUP BY 1, 2, 3, 4),
+        best AS (SELECT key, word_start, max(struct_pack(c := least(1.0::DOUBLE, greatest(0.0::DOUBLE, m.c)), pos := -pos, sid := sid, b := -m.b, z := m.z)) AS m FROM by_source GROUP BY 1, 2),
+        runs AS (SELECT * FROM ({hits("SELECT sid, t FROM src", "sid", r"[^\s]+", False)})),
+        placed AS (SELECT best.key, word_start, m, src_id, t, regexp_replace(regexp_replace(hit, '^{edges}+', ''), '{edges}+$', '') AS core FROM best JOIN src ON src.sid = m.sid JOIN runs r ON r.sid = m.sid AND r.start <= m.b AND r.fin > m.b),
+        lex AS MATERIALIZED (SELECT w.key, w.start, w.fin, w.word, coalesce(m.c, 0.0) AS support, src_id AS evidence_id, CASE WHEN core = '' THEN substr(t, m.b::BIGINT + 1, (m.z - m.b)::BIGINT) ELSE core END AS evidence_text,
+            coalesce(regexp_matches(' ' || lower(t) || ' ', '[^\p{{L}}\p{{N}}_]' || regexp_escape(lower(w.word)) || '[^\p{{L}}\p{{N}}_]'), false) AS exact
+            FROM words w LEFT JOIN placed p ON p.key = w.key AND p.word_start = w.start WHERE w.kind = 'lexical')"""
 
 
 _INVOICES = f"WITH {_channels(_INVOICE_ANSWER, _INVOICE_SOURCE)}"
@@ -122,6 +160,19 @@ def _point(by: str) -> str:
 
 _PIECES = "SELECT {keys}, unnest(flatten(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]'), lambda w: list_transform(range(1, length(w) + 1, 4), lambda i: substr(w, i, 4))))) AS piece FROM {table}"
 _ID = "'invoice#' || case_id"
+_TURNS = f"SELECT conv_id, turn, role, conv_id * 100000 + turn AS k, conv_id || '#' || turn AS id, {normalised('text')} AS t FROM conversations"
+_TALK = f"""WITH turns AS MATERIALIZED ({_TURNS}),
+    {_lexical("SELECT k AS key, t FROM turns WHERE role = 'assistant'", "SELECT k AS sid, id AS src_id, t FROM turns", "SELECT a.k AS key, b.turn AS pos, b.k AS sid FROM turns a JOIN turns b ON a.conv_id = b.conv_id AND b.turn < a.turn WHERE a.role = 'assistant'")},
+    placed_units AS (SELECT key, start, row_number() OVER (PARTITION BY key ORDER BY start) - 1 AS ordinal FROM (SELECT key, start FROM words UNION ALL SELECT key, start FROM ({numerals("SELECT key, t FROM ans", "key")}))),
+    talk AS (SELECT (key // 100000) || '#' || (key % 100000) AS case_id, ordinal, word AS text, round(support, 6) AS support, evidence_id, evidence_text, CASE WHEN exact THEN 'exact_string_in_span' ELSE '' END AS notes FROM lex JOIN placed_units USING (key, start))"""
+_WORDS_AND_NUMBERS = f"""{_INVOICES}, {_lexical(f"SELECT case_id AS key, t FROM ({_INVOICE_ANSWER})", f"SELECT case_id AS sid, {_ID} AS src_id, t FROM ({_INVOICE_SOURCE})", f"SELECT case_id AS key, 0 AS pos, case_id AS sid FROM ({_CLAIMS})")},
+    both_kinds AS (SELECT key AS case_id, start, word AS text, support, evidence_id, evidence_text, exact AND support < 0.75 AS explained, 1 AS is_word FROM lex
+        UNION ALL SELECT a.case_id, a.start, a.text, a.support, 'invoice#' || a.case_id, coalesce(carry.evidence_text, near.evidence_text), false, 0 FROM a LEFT JOIN near USING (case_id, num_pos) LEFT JOIN carry USING (case_id, num_pos)),
+    placed_kinds AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY support, is_word, start) AS r, count(*) OVER (PARTITION BY case_id) AS n, sum(1 - is_word) OVER (PARTITION BY case_id) AS numbers FROM both_kinds),
+    sized AS (SELECT *, greatest(1, least(4, ceil(0.15::DOUBLE * n)))::INT AS k FROM placed_kinds)
+    SELECT case_id, round(sum(support ORDER BY r) / count(*), 6) AS floor, k, n::INT AS n_marked, numbers::INT AS n_numeral, 'trigram-64@v1' AS encoder_id, '' AS warnings,
+        string_agg(rpad(text, greatest(length(text), 14)::INT, ' ') || '  support ' || round(support::DECIMAL(18, 9), 2)::DECIMAL(4, 2) || '   nearest in ' || evidence_id || ': ''' || evidence_text || '''' || CASE WHEN explained THEN '{sinks.EXPLAIN}' ELSE '' END, chr(10) ORDER BY r) AS report
+    FROM sized WHERE r <= k GROUP BY case_id, k, n, numbers"""
 _WARNING, _BARE = scan.UNSEGMENTED_WARNING, scan.NO_CONTEXT_WARNING
 
 ORACLES: dict[str, str] = {
@@ -160,6 +211,9 @@ ORACLES: dict[str, str] = {
         FROM ranked JOIN (SELECT case_id, text, min(start) AS start, min(fin) AS fin FROM s GROUP BY 1, 2) e USING (case_id) WHERE e.text = ranked.evidence_text GROUP BY case_id""",
     "calibrate_threshold": f"{_LABELLED}, {_point('')}",
     "calibrate_recall_fpr": f"{_LABELLED}, {_point('digit')}",
+    "lexical_support": f"{_TALK} SELECT * FROM talk",
+    "exact_string_note": f"{_TALK} SELECT notes <> '' AS exact, count(*) AS n, min(support) AS least FROM talk GROUP BY 1",
+    "proofread_invoices": _WORDS_AND_NUMBERS,
     "unaligned_guard": "SELECT 0::BIGINT AS n_unaligned",
 }
 ORACLES["floor_exploded"] = ORACLES["floor_per_case"]
