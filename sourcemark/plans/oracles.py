@@ -214,7 +214,10 @@ ORACLES: dict[str, str] = {
     "lexical_support": f"{_TALK} SELECT * FROM talk",
     "exact_string_note": f"{_TALK} SELECT notes <> '' AS exact, count(*) AS n, min(support) AS least FROM talk GROUP BY 1",
     "proofread_invoices": _WORDS_AND_NUMBERS,
-    "unaligned_guard": "SELECT 0::BIGINT AS n_unaligned",
+    "unaligned_guard": f"""WITH turns AS MATERIALIZED ({_TURNS}), ans AS MATERIALIZED (SELECT k, t FROM turns WHERE role = 'assistant'),
+        w AS MATERIALIZED ({words("SELECT k, t FROM ans", "k")}), m AS MATERIALIZED ({hits("SELECT k, t FROM ans", "k", "[\\p{L}\\p{N}_]{4,}", False)})
+        SELECT (k // 100000) || '#' || (k % 100000) AS case_id, 'word ''' || arg_min(word, start) || ''' at ' || min(start) || ' meets no token of the answer' AS error, true AS no_floor
+        FROM w WHERE kind = 'lexical' AND NOT EXISTS (SELECT 1 FROM m WHERE m.k = w.k AND m.start < w.fin AND m.fin > w.start) GROUP BY k""",
 }
 ORACLES["floor_exploded"] = ORACLES["floor_per_case"]
 ORACLES["calibrate_threshold"] = f"SELECT round(threshold, 6) AS threshold, 0.95::DOUBLE AS target_recall, n, n_positive FROM ({ORACLES['calibrate_threshold']})"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions.encoders import TrigramEncoder
@@ -147,39 +149,37 @@ def supported_evidence(spark, sf_dir):
     return first.select("case_id", F.col("num_pos").cast("long").alias("num_pos"), "evidence_id", "evidence_text")
 
 
-def _pieces(text: str) -> F.Column:
-    """Sub-words of up to four characters, in order."""
-    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), 0)
-    cut = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w), F.lit(4)), lambda i: F.substring(w, i, F.lit(4))))
-    return F.flatten(cut)
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _pieces(texts: pa.Array) -> pa.Array:
+    """The encoder's sub-words, in order."""
+    return pa.array(([t[a:b] for a, b in ENCODER.token_spans(t)] for t in texts.to_pylist()), C.STRINGS)
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _vectors(pieces: pa.Array) -> pa.Array:
+    return pa.array((ENCODER.vector(p) for p in pieces.to_pylist()), pa.list_(pa.float64()))
 
 
 @query
 def subword_tokens(spark, sf_dir):
     """How often each sub-word occurs in the conversations."""
-    out = table(spark, sf_dir, "conversations").select(F.explode(_pieces("text")).alias("piece"))
+    out = C.opened(_turns(spark, sf_dir), [], _pieces("text"), "i", "piece")
     return out.groupBy("piece").agg(F.count("*").alias("n"))
 
 
 @query
 def token_windows(spark, sf_dir):
     """Windows of 16 tokens over every turn."""
-    sized = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(_pieces("text")).alias("n_tokens"))
+    sized = _turns(spark, sf_dir).select("conv_id", "turn", F.size(_pieces("text")).alias("n_tokens"))
     return windows(sized, 16).select("conv_id", "turn", *(F.col(c).cast("long").alias(c) for c in ("first_token", "last_token")))
 
 
 @query
 def trigram_vector(spark, sf_dir):
     """Coordinates that aren't 0 of the benchmark's distinct sub-words."""
-    pieces = table(spark, sf_dir, "benchmark").select(F.explode(_pieces("text")).alias("piece")).distinct()
-    key = F.concat(F.lit(" "), F.lower("piece"), F.lit(" "))
-    grams = pieces.select("piece", F.explode(F.transform(F.sequence(F.lit(1), F.length(key) - 2), lambda i: F.substring(key, i, F.lit(3)))).alias("g"))
-    h = F.sha2("g", 256)
-    index = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % 64
-    sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("long") % 2 == 1, 1).otherwise(-1)
-    sums = grams.groupBy("piece", index.alias("i")).agg(F.sum(sign).alias("x")).where("x <> 0")
-    norm = sums.groupBy("piece").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return sums.join(norm, "piece").select("piece", "i", F.round(F.col("x") / F.col("norm"), 6).alias("x"))
+    pieces = C.opened(table(spark, sf_dir, "benchmark").select("text"), [], _pieces("text"), "at", "piece").select("piece").distinct()
+    found = C.opened(pieces, ["piece"], _vectors("piece"), "i", "x").where("x <> 0")
+    return found.select("piece", "i", F.round("x", 6).alias("x"))
 
 
 @query
@@ -315,11 +315,17 @@ def exact_string_note(spark, sf_dir):
     return found.groupBy((F.instr("notes", "exact_string_in_span") > 0).alias("exact")).agg(F.count("*").alias("n"), F.round(F.min("support"), 6).alias("least"))
 
 
+class LongRuns(TrigramEncoder):
+    """Tokens of runs of at least four characters only, so that shorter words meet none."""
+
+    _WORD = re.compile(r"\w{4,}")
+
+
 @query
 def unaligned_guard(spark, sf_dir):
-    """Cases with a word that no token of the answer meets: none."""
-    out = proofread(cases.conversation_cases(spark, sf_dir), ENCODER, 0)
-    return out.agg(F.count_if(F.col("error").isNotNull()).alias("n_unaligned"))
+    """What is said of cases with a word that no token of the answer meets."""
+    out = proofread(cases.conversation_cases(spark, sf_dir), LongRuns(), 0)
+    return out.where(F.col("error").isNotNull()).select("case_id", "error", F.col("floor").isNull().alias("no_floor"))
 
 
 @query
