@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontaminate, langid, lm, nearest, neardup, packing, pii, secrets, suffix
 from .common import col, crc_mod, table
+from .oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,4 +62,3 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_lm_scoring, op4_suffix_array_dedup, op5_language_id, op6_nearest_neighbours, op7_pii, op8_minhash_near_dedup, op9_secrets, op10_benchmark_decontamination)}
-ORACLES: dict[str, str] = {}
