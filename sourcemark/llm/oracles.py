@@ -18,4 +18,18 @@ NEAR_DUPLICATES = f"""WITH RECURSIVE {_SETS},
     SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, doc_id = coalesce(root, doc_id) AS kept
     FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN roots ON roots.a = classes.a"""
 
-ORACLES: dict[str, str] = {"op8_minhash_near_dedup": NEAR_DUPLICATES}
+#: Every 400-byte string by its digest; starts within reach of one another make one removed run.
+REPEATED_BYTES = """WITH bytes AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    strings AS MATERIALIZED (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 800)) AS m FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS p FROM bytes)),
+    starts AS (SELECT doc_id, p FROM strings WHERE m IN (SELECT m FROM strings GROUP BY m HAVING count(*) > 1)),
+    marked AS (SELECT *, coalesce(p > lag(p) OVER w + 400, true) AS fresh FROM starts WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+    numbered AS (SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+    runs AS MATERIALIZED (SELECT doc_id, min(p) AS a, max(p) + 400 AS z FROM numbered GROUP BY doc_id, run),
+    gaps AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS z FROM runs),
+    ends AS (SELECT doc_id, coalesce(max(z), 0) AS a, length(h) // 2 AS z FROM bytes LEFT JOIN runs USING (doc_id) GROUP BY doc_id, h),
+    kept AS (SELECT doc_id, string_agg(substr(h, 2 * g.a + 1, 2 * (g.z - g.a)), '' ORDER BY g.a, g.z) AS k FROM bytes JOIN (FROM gaps UNION ALL FROM ends) g USING (doc_id) GROUP BY doc_id),
+    sums AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+    SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+    FROM bytes JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op4_suffix_array_dedup": REPEATED_BYTES, "op8_minhash_near_dedup": NEAR_DUPLICATES}
