@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sourcemark.operators.calibrate import ROUNDS, _Draws, _interval, bootstrap, calibrate, thresholds
+from sourcemark.plans.queries import QUERIES
 
 
 def labelled(n=400, gap=0.4, seed=7):
@@ -99,3 +100,8 @@ def test_groups_have_the_points_of_thresholds_and_work_rows_out_once(spark):
 def test_a_case_without_a_floor_lies_below_all(spark):
     rows = frame(spark, [(None, False), (0.5, True), (0.7, False), (0.2, False)])
     assert bootstrap(rows, 0.95).first().fpr == thresholds(rows, 0.95).first().fpr == pytest.approx(2 / 3)
+
+
+def test_the_query_reads_its_cases_once_and_joins_nothing(spark, small):
+    plan = QUERIES["calibrate_bootstrap"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 1
