@@ -82,3 +82,30 @@ def test_a_text_longer_than_a_segment_and_a_shard(docs_of):
     pairs = [(1, long), (2, "x" + long[1_300_000:1_302_000] + "y"), (3, None), (4, long[:399])]
     rows = {r.doc_id: (r.n_removed, r.n_spans) for r in X.report(docs_of(pairs)).collect()}
     assert rows == {1: (2000, 1), 2: (2000, 1), 3: (0, 0), 4: (0, 0)}
+
+
+def test_equal_windows_have_equal_keys(monkeypatch):
+    rng = np.random.default_rng(7)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    shared = letters(200)
+    raws = [letters(150) + shared + letters(90), b"", shared[40:170], letters(59), letters(30) + shared, letters(60), shared[:90] + letters(20) + shared, letters(500)]
+    offs = np.cumsum([0, *map(len, raws)])
+    for together, segment in ((1 << 15, 1 << 20), (600, 1 << 20), (1, 70)):
+        monkeypatch.setattr(X, "TOGETHER", together)
+        monkeypatch.setattr(X, "SEGMENT", segment)
+        found, keys, seen = X.regions(np.frombuffer(b"".join(raws), np.uint8), offs, 60), {}, Counter()
+        for row, p, lo, hi, h in zip(*(found[c].tolist() for c in ("row", "p", "lo", "hi", "h")), strict=True):
+            for i in range(lo, hi - 59):
+                seen[row, i] += 1
+                assert keys.setdefault(raws[row][i : i + 60], (h, p - i)) == (h, p - i)
+        assert seen == Counter({(k, i): 1 for k, x in enumerate(raws) for i in range(len(x) - 59)})
+
+
+def test_shards_get_no_texts_that_share_too_little(docs_of, monkeypatch):
+    rng = np.random.default_rng(8)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    phrase, dealt, by_shards = letters(200), [], X._by_shards
+    monkeypatch.setattr(X, "_by_shards", lambda found, length: (dealt.append(found.count()), by_shards(found, length))[1])
+    pairs = [(i, letters(600) + phrase + letters(600)) for i in range(20)]
+    assert got(docs_of(pairs), 400) == plain(pairs, 400)
+    assert dealt == [0]
